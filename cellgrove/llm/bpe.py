@@ -22,7 +22,7 @@ _NONE = np.iinfo(np.int64).max
 #: Pieces kept before the store starts anew: a bound of memory, not of results.
 KEPT = 1_000_000
 #: Symbols of one piece above which halves are encoded and then joined.
-LEAF = 48
+LEAF = 16
 # the byte alphabet of byte-level vocabularies: printable bytes stand for themselves, the others for 256, 257, ...
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 # classes of bytes: 1 letters, 2 digits, 0 other marks; 3: a word with such a byte goes to the library
@@ -44,10 +44,11 @@ def byte_alphabet() -> list[str]:
 class Merger:
     """Merges of pairs by rank, over many symbol sequences at once."""
 
-    def __init__(self, pairs: np.ndarray, made: np.ndarray):
+    def __init__(self, pairs: np.ndarray, ranks: np.ndarray, made: np.ndarray, sizes: np.ndarray):
+        """pairs[i] merges at ranks[i], the lowest and then the leftmost first, to the id made[i]; sizes: symbols of each id."""
         keys = (pairs[:, 0].astype(np.int64) << 20) | pairs[:, 1]
         order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made
+        self.keys, self.ranks, self.made, self.sizes = keys[order], ranks[order].astype(np.int64), made[order], sizes
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         keys = (a << 20) | b
@@ -78,7 +79,7 @@ class Merger:
             at = np.flatnonzero(rank == np.repeat(least, lengths))
             of = np.searchsorted(offs, at, "right") - 1
             at = at[np.r_[True, of[1:] != of[:-1]]]
-            ids[at] = self.made[least]
+            ids[at] = self.made[np.searchsorted(self.keys, (ids[at] << 20) | ids[at + 1])]
             keep = np.ones(len(ids), dtype=bool)
             keep[at + 1] = False
             rank[at] = rank[at + 1]
@@ -95,37 +96,51 @@ class Merger:
         lengths = np.concatenate([x[2] for x in out]) if out else np.zeros(0, dtype=np.int64)
         return _in_order(flat, lengths, which)
 
-    def tree(self, symbols: np.ndarray) -> np.ndarray:
-        """Ids of one long sequence, by halves and windows around their joins."""
-        cuts = np.linspace(0, len(symbols), 1 << int(np.ceil(np.log2(len(symbols) / LEAF))), dtype=np.int64, endpoint=False)
-        flat, offs = self.merge(symbols, np.r_[cuts, len(symbols)])
-        parts = [flat[a:b] for a, b in zip(offs[:-1], offs[1:])]
-        spans = [(int(a), self.spread(p)) for a, p in zip(cuts, parts)]
-        while len(parts) > 1:
-            parts, spans = zip(*[self._joined(symbols, *x) for x in zip(parts[::2], parts[1::2], spans[::2], spans[1::2])])
-        return parts[0]
-
-    def spread(self, ids: np.ndarray) -> np.ndarray:
-        """The number of symbols that each id stands for."""
-        return self.sizes[ids]
-
-    def _joined(self, symbols, left, right, wl, wr):
-        """Two neighbours, encoded anew around the join until the window keeps its first and its last id on either side.
-
-        An id sequence is the encoding of its text if and only if each pair of
-        neighbours is the encoding of theirs; a window that starts and ends
-        with ids of the two sides makes every such pair one that was seen.
+    def trees(self, texts: list[np.ndarray], leaf: int = LEAF) -> list[np.ndarray]:
+        """Ids of long sequences: of their halves' halves, all in one batch, then joined two by two."""
+        parts = []
+        for symbols in texts:
+            n = 1 << max(0, int(np.ceil(np.log2(max(1, len(symbols) / leaf)))))
+            cuts = np.linspace(0, len(symbols), n + 1).astype(np.int64)
+            parts.append([symbols[a:b] for a, b in zip(cuts[:-1], cuts[1:])])
+        flat = [x for p in parts for x in p]
+        ids = iter(zip(flat, self._batch(flat)))
+        parts = [[next(ids) for _ in p] for p in parts]
+        while any(len(p) > 1 for p in parts):
+            two = iter(self._joined([(p[i], p[i + 1]) for p in parts for i in range(0, len(p) - 1, 2)]))
+            parts = [[next(two) for _ in range(len(p) // 2)] if len(p) > 1 else p for p in parts]
+        return [p[0][1] for p in parts]
+
+    def _batch(self, texts: list[np.ndarray]) -> list[np.ndarray]:
+        flat, offs = self.merge(np.concatenate(texts), np.r_[0, np.cumsum([len(x) for x in texts])])
+        return np.split(flat, offs[1:-1])
+
+    def _joined(self, pairs):
+        """Neighbours (symbols, ids) made one: the window around each join is encoded anew and grows until both sides agree.
+
+        A sequence of ids is the encoding of its text if and only if each two
+        neighbours in it are the encoding of theirs. A window that keeps the
+        first of its ids on the left and the last on the right leaves only
+        neighbours that some encoding has put side by side.
         """
-        (a, nl), (b, nr) = wl, wr
-        w = 4
-        while True:
-            i, j = max(0, len(left) - w), min(len(right), w)
-            start, end = int(b - nl[i:].sum()), int(b + nr[:j].sum())
-            ids, _ = self.merge(symbols[start:end], np.array([0, end - start]))
-            if (i == 0 or ids[0] == left[i]) and (j == len(right) or ids[-1] == right[j - 1]):
-                ids = np.concatenate([left[:i], ids, right[j:]])
-                return ids, (a, self.spread(ids))
-            w *= 2
+        out, width, open_ = [None] * len(pairs), 2, list(range(len(pairs)))
+        while open_:
+            windows, places = [], []
+            for k in open_:
+                (ls, li), (rs, ri) = pairs[k]
+                i, j = max(0, len(li) - width), min(len(ri), width)
+                a, b = int(self.sizes[li[i:]].sum()), int(self.sizes[ri[:j]].sum())
+                windows.append(np.concatenate([ls[len(ls) - a :], rs[:b]]))
+                places.append((i, j))
+            again = []
+            for k, (i, j), ids in zip(open_, places, self._batch(windows)):
+                (ls, li), (rs, ri) = pairs[k]
+                if (i == 0 or ids[0] == li[i]) and (j == len(ri) or ids[-1] == ri[j - 1]):
+                    out[k] = (np.concatenate([ls, rs]), np.concatenate([li[:i], ids, ri[j:]]))
+                else:
+                    again.append(k)
+            open_, width = again, width * 2
+        return out
 
 
 def _in_order(flat, lengths, which):
@@ -175,7 +190,7 @@ def _pieces(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray):
 class WordEncoder:
     """Ids of words for a vocabulary with word ends, kept by hash."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, leaf: int = LEAF):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -186,13 +201,15 @@ class WordEncoder:
         vocab, merges = kind["model"]["vocab"], kind["model"]["merges"]
         end = kind["model"]["end_of_word_suffix"]
         merges = [m.split(" ") if isinstance(m, str) else m for m in merges]
-        self.merger = Merger(np.array([(vocab[a], vocab[b]) for a, b in merges]), np.array([vocab[a + b] for a, b in merges]))
+        sizes = np.ones(max(vocab.values()) + 1, dtype=np.int64)
+        for t, i in vocab.items():
+            sizes[i] = len(t.removesuffix(end))
+        made = np.array([vocab[a + b] for a, b in merges])
+        self.merger = Merger(np.array([(vocab[a], vocab[b]) for a, b in merges]), np.arange(len(merges)), made, sizes)
+        self.leaf = leaf
         alphabet = byte_alphabet()
         self.inner = np.array([vocab[c] for c in alphabet])
         self.last = np.array([vocab[c + end] for c in alphabet])
-        self.merger.sizes = np.ones(max(vocab.values()) + 1, dtype=np.int64)
-        for t, i in vocab.items():
-            self.merger.sizes[i] = len(t.removesuffix(end))
         self.token = [self.library.id_to_token(i) or "" for i in range(self.library.get_vocab_size())]
         self.clear()
 
@@ -234,25 +251,34 @@ class WordEncoder:
         ends = np.cumsum(lengths)
         symbols = self.inner[flat]
         symbols[ends - 1] = self.last[flat[ends - 1]]
-        short = lengths <= LEAF
-        ids, offs = self.merger.merge(symbols[np.repeat(short, lengths)], np.r_[0, np.cumsum(lengths[short])]) if short.any() else (np.zeros(0, np.int64), np.zeros(1, np.int64))
-        data = ids.astype("<u4").tobytes()
-        cut = (offs * 4).tolist()
-        out = iter([data[a:b] for a, b in zip(cut[:-1], cut[1:])])
-        return [next(out) if s else self.merger.tree(symbols[e - n : e]).astype("<u4").tobytes() for s, n, e in zip(short.tolist(), lengths.tolist(), ends.tolist())]
+        short = lengths <= self.leaf
+        out = iter([])
+        if short.any():
+            ids, offs = self.merger.merge(symbols[np.repeat(short, lengths)], np.r_[0, np.cumsum(lengths[short])])
+            data, cut = ids.astype("<u4").tobytes(), (offs * 4).tolist()
+            out = iter([data[a:b] for a, b in zip(cut[:-1], cut[1:])])
+        long = [symbols[e - n : e] for e, n in zip(ends[~short].tolist(), lengths[~short].tolist())]
+        trees = iter(self.merger.trees(long, self.leaf) if long else [])
+        return [next(out) if s else next(trees).astype("<u4").tobytes() for s in short.tolist()]
 
 
 @functools.cache
-def word_encoder(path: str) -> WordEncoder:
+def word_encoder(path: str, leaf: int = LEAF) -> WordEncoder:
     """One encoder for each vocabulary file and process."""
-    return WordEncoder(path)
+    return WordEncoder(path, leaf)
 
 
-def encoded(encoder: WordEncoder, buf: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-    """Ids of every row as bytes, little-endian 32-bit."""
+def pieces_of(encoder: WordEncoder, buf: np.ndarray, offsets: np.ndarray) -> tuple[list[int], list[int]]:
+    """The places in encoder.ids of the pieces of all rows, and where each row's begin."""
     starts, ends, first = word_spans(buf, offsets)
     if not len(starts):
-        return [b""] * (len(offsets) - 1)
+        return [], [0] * len(offsets)
     places, before = encoder.of(buf, starts, ends)
-    places, cut, get = places.tolist(), before[first].tolist(), encoder.ids.__getitem__
+    return places.tolist(), before[first].tolist()
+
+
+def encoded(encoder: WordEncoder, buf: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """Ids of every row as bytes, little-endian 32-bit."""
+    places, cut = pieces_of(encoder, buf, offsets)
+    get = encoder.ids.__getitem__
     return [b"".join(map(get, places[a:b])) for a, b in zip(cut[:-1], cut[1:])]

@@ -4,13 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellgrove.llm import near_dup, substring
+from cellgrove.llm import encoding, near_dup, packing, prefix_tokens, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of word_bpe_49k ids in sequences of 2048."""
+    return packing.pack(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), size=2048, name="op2")
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose sets of 2-word shingles are at least 0.8 alike."""
     found = near_dup.near_duplicates(_table(spark, sf_dir, "documents"), size=2, percent=80, name="op3")
@@ -22,5 +33,21 @@ def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.removal_report(_table(spark, sf_dir, "documents"), name="op7")
 
 
-QUERIES = {"op3_minhash": op3_minhash, "op7_substring": op7_substring}
+def op9_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """word_bpe_49k ids of every text and the text they decode to, as digests."""
+    return encoding.round_trip(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
+def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """piece_bpe_32k token counts of every text."""
+    return prefix_tokens.token_counts(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"), limit=4096)
+
+
+QUERIES = {
+    "op2_packing": op2_packing,
+    "op3_minhash": op3_minhash,
+    "op7_substring": op7_substring,
+    "op9_encoding": op9_encoding,
+    "op10_tokens": op10_tokens,
+}
 ORACLE_SQL: dict[str, str] = {}
