@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellgrove.llm import encoding, near_dup, packing, prefix_tokens, substring
+from cellgrove.llm import ann, encoding, near_dup, packing, prefix_tokens, quality, secrets, substring, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,22 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: The rules of the url query, as host, path and whether they allow.
+URL_RULES = [
+    ("org", "/", True),
+    ("example.org", "/es/", False),
+    ("example.org", "/en/1", False),
+    ("com", "/fr/", True),
+    ("com", "/de/", False),
+]
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of the quality rules, their cutoffs set on the labelled documents of each language."""
+    found = quality.rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), name="op1")
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of word_bpe_49k ids in sequences of 2048."""
     return packing.pack(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), size=2048, name="op2")
@@ -28,6 +44,21 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every twentieth vector."""
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), k=20, every=20, name="op4")
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every text; sources own documents."""
+    return secrets.report(secrets.scan(_table(spark, sf_dir, "documents"), name="op5"))
+
+
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule and verdict for every page's url."""
+    return urls.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left without those in 35-word windows that start elsewhere as well."""
     return substring.removal_report(_table(spark, sf_dir, "documents"), name="op7")
@@ -44,8 +75,12 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_packing": op2_packing,
     "op3_minhash": op3_minhash,
+    "op4_ann": op4_ann,
+    "op5_secrets": op5_secrets,
+    "op6_urls": op6_urls,
     "op7_substring": op7_substring,
     "op9_encoding": op9_encoding,
     "op10_tokens": op10_tokens,
