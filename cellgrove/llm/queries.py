@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellgrove.llm import ann, encoding, near_dup, packing, prefix_tokens, quality, secrets, substring, urls
+from cellgrove.llm import ann, encoding, near_dup, packing, prefix_tokens, quality, secrets, substring, suffix_array, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,11 @@ def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.removal_report(_table(spark, sf_dir, "documents"), name="op7")
 
 
+def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes left without those in 100-byte strings that start earlier."""
+    return suffix_array.removal_report(_table(spark, sf_dir, "documents"), name="op8")
+
+
 def op9_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """word_bpe_49k ids of every text and the text they decode to, as digests."""
     return encoding.round_trip(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
@@ -82,6 +87,7 @@ QUERIES = {
     "op5_secrets": op5_secrets,
     "op6_urls": op6_urls,
     "op7_substring": op7_substring,
+    "op8_suffix": op8_suffix,
     "op9_encoding": op9_encoding,
     "op10_tokens": op10_tokens,
 }
