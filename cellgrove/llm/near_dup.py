@@ -14,10 +14,8 @@ from cellgrove.llm.words import U64, gram_hashes, mix, span_hashes, word_spans
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-#: Star rounds before what is left between different components is joined in full.
-STAR_ROUNDS = 6
-#: Pairs for each posted row up to which they are joined in full at once.
-LINEAR = 8
+#: Rounds in which every posting list compares its members with one of them.
+STAR_ROUNDS = 2
 
 
 def _multipliers(k: int) -> np.ndarray:
@@ -81,6 +79,45 @@ def _sets(size: int):
     return by_slices(f)
 
 
+def _mixed(posted: DataFrame, labels: DataFrame | None, store: Store) -> DataFrame:
+    """Postings (token, v, centrality, label) of the lists that hold more than one component."""
+    label = F.col("v") if labels is None else F.coalesce("label", "v")
+    at = (posted if labels is None else posted.join(labels, "v", "left")).select("token", "v", "centrality", label.alias("label"))
+    at = store.put(at)
+    mixed = store.put(at.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token"))
+    return store.put(at.join(mixed, "token", "left_semi"))
+
+
+def _rest(inside: DataFrame, percent: int, store: Store) -> DataFrame:
+    """Pairs (a, b) of different components among vertices (v, label, shingles) that may still be alike.
+
+    A pair of sets of n and m shingles is alike only if it shares at least
+    need = percent * (n + m) / (100 + percent) of them, so one of the rarest
+    (those each holds alone included) n - need + 1 of either. Sizes are dealt
+    into steps of 8 %, which makes `need` sharp: the members of a large group
+    that are too far from all others have nothing left to be posted under.
+    """
+    each = inside.select("v", F.explode("shingles").alias("token"))
+    df = store.put(each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"))
+    held = each.join(df, "token").groupBy("v").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
+    step = 1.08
+    sized = inside.select("v", "label", F.size("shingles").alias("n")).withColumn("b", F.floor(F.log(F.col("n")) / F.log(F.lit(step)) + 1e-9).cast("int"))
+    reach = int(np.ceil(np.log(100 / percent) / np.log(step))) + 1
+    with_partner = sized.join(held, "v").select("v", "label", "n", "b", "t", F.explode(F.sequence(F.col("b") - reach, F.col("b") + reach)).alias("p"))
+    least = F.greatest(F.floor(F.pow(F.lit(step), F.col("p")) - 1e-6), F.ceil(F.col("n") * percent / 100))
+    need = F.ceil((F.col("n") + least) * percent / (100 + percent) - 1e-9).cast("int")
+    count = F.size("t") - need + 1
+    tokens = F.transform(F.slice("t", 1, F.greatest(count, F.lit(0))), lambda x: x["token"])
+    key = [F.least("b", "p").alias("lo"), F.greatest("b", "p").alias("hi"), (F.col("b") <= F.col("p")).alias("small"), (F.col("b") >= F.col("p")).alias("large")]
+    posts = store.put(with_partner.where(count > 0).select("v", "label", *key, F.explode(tokens).alias("token")))
+    lists = posts.groupBy("token", "lo", "hi").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.max("small").alias("s"), F.max("large").alias("l"))
+    lists = store.put(lists.where("a <> b AND s AND l").select("token", "lo", "hi"))
+    left = store.put(posts.join(lists, ["token", "lo", "hi"], "left_semi"))
+    right = left.where("large").select("token", "lo", "hi", F.col("v").alias("w"), F.col("label").alias("other"))
+    pairs = left.where("small").join(right, ["token", "lo", "hi"]).where("label <> other")
+    return store.put(pairs.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct())
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 5, percent: int = 80, k: int = 64, matches: int = 36, name: str = "near") -> DataFrame:
     """Group documents whose shingle sets have 100 * intersection >= percent * union.
 
@@ -96,9 +133,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     k - matches + 1 coordinates, so each vertex is posted only under its rarest
     ones (prefix); a vertex with fewer than `matches` values that any other
     vertex has is not posted at all (skip). Every posting list first compares
-    its members with one member, a different one each round, which joins large
-    groups in time linear in their size; what then still shares a list but no
-    component is compared pair by pair, so no link is lost.
+    its members with one member, the most central and then another, which joins
+    large groups in time linear in their size; vertices that still share a list
+    but no component are compared by whole sets (_rest), so no link is lost.
 
     Null or empty text: n_shingles 0, a component of its own. Null ids: the row
     takes part, its id can't become a component's. Repeated rows and ties are
@@ -114,53 +151,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one = store.put(base.where("n_shingles > 0").join(classes.select("v", "rid"), ["v", "rid"]).select("v", "n_shingles", "sig", "rid"))
     tokens = one.select("v", F.explode("sig").alias("token"))
     shared = store.put(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"))
-    mine = tokens.join(shared, "token").groupBy("v").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t")).where(F.size("t") >= matches)
+    mine = tokens.join(shared, "token").groupBy("v").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"), F.sum("df").alias("centrality")).where(F.size("t") >= matches)
     prefix = F.slice("t", 1, F.size("t") - F.lit(matches - 1))
-    posted = store.put(mine.select("v", F.explode(F.transform(prefix, lambda x: x["token"])).alias("token")).distinct())
+    posted = store.put(mine.select("v", "centrality", F.explode(F.transform(prefix, lambda x: x["token"])).alias("token")).distinct())
+    met = store.put(posted.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"))
+    alone, posted = posted, store.put(posted.join(met, "token"))
+    store.drop(alone, met, shared)
 
     some = store.put(posted.select("v").distinct().join(one, "v").select("v", "n_shingles", "sig", "rid"))
+    store.drop(one)
     text = rows.join(some.select("rid"), "rid", "left_semi").select("text")
     sets = store.put(text.mapInArrow(_sets(size), "v long, shingles array<long>").join(some.select("v"), "v", "left_semi").dropDuplicates(["v"]))
 
-    def linked(pairs: DataFrame) -> DataFrame:
+    def linked(pairs: DataFrame, by_signature: bool) -> DataFrame:
         """Those of the pairs (a, b) that the whole sets confirm."""
-        sa = some.select(F.col("v").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("ga"))
-        sb = some.select(F.col("v").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("gb"))
-        near = pairs.join(sa, "a").join(sb, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-        near = near.where(F.size(F.array_intersect("ga", "gb")) >= matches).select("a", "b", "na", "nb")
-        full = near.join(sets.select(F.col("v").alias("a"), F.col("shingles").alias("xa")), "a").join(sets.select(F.col("v").alias("b"), F.col("shingles").alias("xb")), "b")
-        both = F.size(F.array_intersect("xa", "xb"))
-        return full.withColumn("both", both).where(f"100L * both >= {percent}L * (na + nb - both)").select("a", "b")
-
-    labels, tested, r = None, None, 0
-    while True:
-        label = F.col("v") if labels is None else F.coalesce("label", "v")
-        at = (posted if labels is None else posted.join(labels, "v", "left")).select("v", "token", label.alias("label"))
-        at = store.put(at)
-        mixed = store.put(at.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("token", "n"))
-        size_of = mixed.agg(F.count("*").alias("lists"), F.sum("n").alias("rows"), F.sum(F.expr("n * (n - 1) / 2")).alias("pairs")).first()
-        if not size_of["lists"]:
-            break
-        last = r >= STAR_ROUNDS or size_of["pairs"] <= LINEAR * size_of["rows"]
-        at = store.put(at.join(mixed.select("token"), "token", "left_semi"))
-        if last:
-            other = at.select("token", F.col("v").alias("w"), F.col("label").alias("other"))
-            pairs = at.join(other, "token").where("v < w and label <> other").select(F.col("v").alias("a"), F.col("w").alias("b"))
-        else:
-            turn = F.lit((0x9E3779B97F4A7C15 * r) % (1 << 63))
-            centre = store.put(at.groupBy("token").agg(F.min(F.col("v").bitwiseXOR(turn)).alias("c")).select("token", F.col("c").bitwiseXOR(turn).alias("c")))
-            own = at.select(F.col("v").alias("c"), F.col("label").alias("lc")).distinct()
-            pairs = at.join(centre, "token").where("c <> v").select("c", "v", "label").distinct().join(own, "c").where("lc <> label").select(F.least("c", "v").alias("a"), F.greatest("c", "v").alias("b"))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = store.put(pairs)
-        new = store.put(linked(pairs))
-        tested, r = pairs if tested is None else tested.union(pairs), r + 1
-        if not new.isEmpty():
-            labels = merged(labels, new, store)
-        if last:
+        n = lambda e, c: some.select(F.col("v").alias(e), F.col(c).alias(f"{c}_{e}"))
+        near = pairs.join(n("a", "n_shingles"), "a").join(n("b", "n_shingles"), "b")
+        near = near.where(f"100 * least(n_shingles_a, n_shingles_b) >= {percent} * greatest(n_shingles_a, n_shingles_b)")
+        if by_signature:
+            near = near.join(n("a", "sig"), "a").join(n("b", "sig"), "b").where(F.size(F.array_intersect("sig_a", "sig_b")) >= matches).drop("sig_a", "sig_b")
+        x = lambda e: sets.select(F.col("v").alias(e), F.col("shingles").alias(f"x_{e}"))
+        full = near.join(x("a"), "a").join(x("b"), "b").withColumn("both", F.size(F.array_intersect("x_a", "x_b")))
+        return full.where(f"100L * both >= {percent}L * (n_shingles_a + n_shingles_b - both)").select("a", "b")
+
+    labels = None
+    for r in range(STAR_ROUNDS):
+        at = _mixed(posted, labels, store)
+        if at.isEmpty():
             break
+        pick = F.max(F.struct("centrality", "v", "label")) if r == 0 else F.min(F.struct(F.xxhash64("v", F.lit(r)).alias("turn"), "v", "label"))
+        centre = store.put(at.groupBy("token").agg(pick.alias("c")).select("token", F.col("c.v").alias("c"), F.col("c.label").alias("lc")))
+        pairs = at.join(centre, "token").where("c <> v AND lc <> label").select(F.least("c", "v").alias("a"), F.greatest("c", "v").alias("b"))
+        new = store.put(linked(store.put(pairs.distinct()), True))
+        labels = merged(labels, new, store)
+    at = _mixed(posted, labels, store)
+    if not at.isEmpty():
+        inside = at.select("v", "label").distinct().join(sets, "v")
+        new = store.put(linked(_rest(store.put(inside), percent, store), False))
+        labels = merged(labels, new, store)
 
     if labels is None:
         links = classes.select("v", F.col("first_id").alias("component_id"))
