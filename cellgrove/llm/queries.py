@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellgrove.llm import ann, encoding, near_dup, packing, prefix_tokens, quality, secrets, substring, suffix_array, urls
+from cellgrove.llm import ann, encoding, near_dup, oracles, packing, prefix_tokens, quality, secrets, substring, suffix_array, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,4 +91,9 @@ QUERIES = {
     "op9_encoding": op9_encoding,
     "op10_tokens": op10_tokens,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op1_quality": oracles.quality_sql(),
+    "op3_minhash": oracles.OP3,
+    "op6_urls": oracles.OP6,
+    "op7_substring": oracles.OP7,
+}
