@@ -54,3 +54,34 @@ def quality_sql(limit: float = 0.02, risk: float = 0.05) -> str:
   each AS ({each}), tried AS (SELECT stratum, rule, x AS cutoff, count(*) AS n, count(*) FILTER (score > x) AS k, (SELECT count(DISTINCT stratum) FROM each) AS strata FROM each, (SELECT unnest(range(101)) AS x) GROUP BY 1, 2, 3),
   best AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM tried WHERE cutoff = 100 OR (k < n * {p!r} AND {tail} <= {risk!r} / (strata * {len(RULES)})) GROUP BY 1, 2)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({failed}) AS kept FROM q"""
+
+OP8 = """WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+  win AS (SELECT doc_id, s, h[2 * s + 1 : 2 * s + 200] AS k FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS s FROM d WHERE length(h) >= 200)),
+  rep AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS n FROM win) WHERE n > 1),
+  b AS (SELECT doc_id, p, h[2 * p + 1 : 2 * p + 2] AS x FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS p FROM d)),
+  g AS (SELECT b.doc_id, b.p, b.x, coalesce(max(rep.s) OVER (PARTITION BY b.doc_id ORDER BY b.p) > b.p - 100, FALSE) AS gone FROM b LEFT JOIN rep ON rep.doc_id = b.doc_id AND rep.s = b.p),
+  l AS (SELECT *, lag(gone) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM g),
+  r AS (SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS removed, count(*) FILTER (gone AND NOT coalesce(before, FALSE)) AS spans, string_agg(x, '' ORDER BY p) FILTER (NOT gone) AS kept FROM l GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0) AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)"""
+
+# fixed values: the base patterns
+_ASSIGN = r"""(?i)(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_RUN = r"[A-Za-z0-9+/_=-]{20,}"
+
+
+def _matches(kind: int, pattern: str) -> str:
+    return f"""SELECT rid, source, {kind} AS kind, m, list_sum([length(x) FOR x IN parts[1 : k]]) + coalesce(list_sum([length(x) FOR x IN found[1 : k - 1]]), 0) AS start
+      FROM (SELECT *, unnest(found) AS m, generate_subscripts(found, 1) AS k FROM (SELECT rid, source, string_split_regex(t, '{pattern}') AS parts, regexp_extract_all(t, '{pattern}') AS found FROM d))"""
+
+
+OP5 = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+  raw AS ({_matches(0, _ASSIGN)} UNION ALL {_matches(1, 'AKIA[A-Z0-9]+')} UNION ALL {_matches(2, '[0-9a-f]+')} UNION ALL {_matches(3, _RUN)}),
+  f AS (SELECT rid, source, kind, CAST(start AS INTEGER) AS start, CAST(start + length(m) AS INTEGER) AS stop, CASE WHEN kind = 0 THEN regexp_extract(m, '{_ASSIGN}', 1) ELSE m END AS secret FROM raw),
+  base AS (SELECT * FROM f WHERE (kind = 0 AND length(secret) >= 8) OR (kind = 1 AND length(secret) >= 16) OR (kind = 2 AND length(secret) >= 32)),
+  own AS (SELECT * FROM f WHERE kind = 3 AND regexp_matches(secret, '[a-z]') AND regexp_matches(secret, '[A-Z]') AND regexp_matches(secret, '[0-9]') AND len(list_distinct(string_split(secret, ''))) >= 12
+    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = f.rid AND b.start < f.stop AND f.start < b.stop)),
+  every AS (SELECT * FROM base UNION ALL SELECT * FROM own), live AS (SELECT secret FROM every GROUP BY 1 HAVING count(DISTINCT source) <= 1),
+  s AS (SELECT *, secret IN (SELECT secret FROM live) AS live, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || start || ':' || stop AS x FROM every),
+  a AS (SELECT rid, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2, string_agg(x, ',' ORDER BY start, kind) FILTER (kind < 3) AS base,
+    string_agg(x, ',' ORDER BY start, kind) FILTER (kind < 3 OR live) AS spans, string_agg(x, ',' ORDER BY start, kind) FILTER (live) AS live FROM s GROUP BY 1)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(live, '') AS live_spans FROM d LEFT JOIN a USING (rid)"""

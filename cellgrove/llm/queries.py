@@ -94,6 +94,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_quality": oracles.quality_sql(),
     "op3_minhash": oracles.OP3,
+    "op5_secrets": oracles.OP5,
     "op6_urls": oracles.OP6,
     "op7_substring": oracles.OP7,
 }

@@ -19,7 +19,7 @@ LEAST = {"assign": 8, "access": 16, "hex": 32}
 KINDS = ["assign", "access", "hex", "owned"]
 _SPAN = "array<struct<start:int,kind:int,stop:int,secret:string>>"
 #: A run of 20 or more characters of keys; it must hold upper and lower case letters and digits.
-_OWNED = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+_OWNED = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _ASSIGN = re.compile(ASSIGN, re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(ACCESS)
 # runs of hex digits are maximal, so those that are too short can be left out by the pattern
