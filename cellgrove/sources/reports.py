@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def sweep_table(results: DataFrame) -> DataFrame:
     """Rows (metric, resolution, rotation, value) as a column for each pair of parameters, values with two decimals."""
     head = F.format_string("Res. %.2fm / Rot. %.2f°", "resolution", "rotation")
-    return results.withColumn("_h", head).groupBy("metric").pivot("_h").agg(F.format_number(F.first("value"), "0.00"))
+    return results.withColumn("_h", head).groupBy("metric").pivot("_h").agg(F.format_string("%.2f", F.first("value")))
 
 
 def write_table(table: DataFrame, path: str) -> None:
