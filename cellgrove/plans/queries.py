@@ -702,3 +702,45 @@ def contact_votes(spark, sf):
     return segments.border_votes(s, d.normals(spark, sf))
 
 
+
+
+# ---- walls and ceilings after partitioning
+
+
+_G0 = f"(SELECT i, r, c, CASE WHEN room_id IN (3, 6, 9, 14) THEN room_id ELSE 0 END AS room_id, cls FROM {_G1})"
+
+
+def _partly(spark, sf):
+    return d.grid(spark, sf).withColumn("room_id", F.when(F.col("room_id").isin(3, 6, 9, 14), F.col("room_id")).otherwise(0)).distinct()
+
+
+@query(f"""WITH g AS (SELECT DISTINCT * FROM {_G0}), a AS (SELECT i, r, c, count(DISTINCT room_id) AS n, min(room_id) AS id, max(CASE WHEN cls = 4 THEN 1 ELSE 0 END) AS w, max(CASE WHEN cls IN (0, 3) THEN 1 ELSE 0 END) AS s FROM g GROUP BY 1, 2, 3),
+  s0 AS (SELECT i, r, c, id FROM a WHERE n = 1 AND id <> 0), f AS (SELECT i, r, c FROM a WHERE n = 1 AND id = 0 AND (w = 1 OR s = 0)),
+  l1 AS (SELECT DISTINCT f.i, f.r, f.c, x.id FROM f, {_O4}, s0 x WHERE x.i = f.i AND x.r = f.r + dr AND x.c = f.c + dc), s1 AS (SELECT * FROM s0 UNION ALL SELECT i, r, c, min(id) FROM l1 GROUP BY 1, 2, 3 HAVING count(*) = 1),
+  l2 AS (SELECT DISTINCT f.i, f.r, f.c, x.id FROM f, {_O4}, s1 x WHERE x.i = f.i AND x.r = f.r + dr AND x.c = f.c + dc AND (f.i, f.r, f.c) NOT IN (SELECT (i, r, c) FROM l1)), l AS (SELECT * FROM l1 UNION ALL SELECT * FROM l2)
+  SELECT i, r, c, room_id, cls FROM g WHERE (i, r, c) NOT IN (SELECT (i, r, c) FROM l) UNION ALL SELECT DISTINCT g.i, g.r, g.c, l.id, CASE cls WHEN 1 THEN 5 WHEN 2 THEN 4 ELSE cls END FROM g JOIN l ON g.i = l.i AND g.r = l.r AND g.c = l.c""")
+def inherited_ids(spark, sf):
+    from cellgrove.operators import walls
+
+    return walls.inherited_ids(_partly(spark, sf), 2)
+
+
+@query(f"""WITH k AS (SELECT i, r, c, min(CASE WHEN room_id <> 0 THEN room_id END) AS room_id FROM {_G0} WHERE cls IN (0, 3) GROUP BY 1, 2, 3), q AS (SELECT *, i - row_number() OVER (PARTITION BY r, c ORDER BY i) AS g FROM k),
+  b AS (SELECT q.i, q.r, q.c, q.room_id, arg_min(x.room_id, x.i) AS below FROM q LEFT JOIN q x ON x.r = q.r AND x.c = q.c AND x.g = q.g AND x.i > q.i AND x.room_id IS NOT NULL GROUP BY 1, 2, 3, 4) SELECT i, r, c, below AS room_id FROM b WHERE room_id IS NULL AND below IS NOT NULL""")
+def ceilings_of_stack(spark, sf):
+    from cellgrove.operators import walls
+
+    surfaces = _partly(spark, sf).where("cls IN (0, 3)").withColumn("cls", F.lit(0))
+    return walls.ceilings_of_stack(surfaces)
+
+
+_FW = f"(SELECT DISTINCT i, r, c, (r // 10) + 1 AS room_id, cls FROM {_G1} UNION SELECT i, r, c, (r // 10) + 1, 4 FROM {_G1} WHERE cls IN (0, 3))"
+
+
+@query(f"""WITH g AS (SELECT * FROM {_FW}), n AS (SELECT DISTINCT i, r, c, room_id FROM g WHERE cls IN (1, 2)), w AS (SELECT DISTINCT i, r, c, room_id FROM g WHERE cls = 4)
+  SELECT CAST(i AS INTEGER) AS i, r, c, CAST(room_id AS INTEGER) AS room_id FROM w WHERE ((i, r, c, room_id) IN (SELECT (i, r, c, room_id) FROM g WHERE cls = 0) AND (i + 1, r, c, room_id) IN (SELECT (i, r, c, room_id) FROM n)) OR ((i, r, c, room_id) IN (SELECT (i, r, c, room_id) FROM g WHERE cls = 3) AND (i - 1, r, c, room_id) IN (SELECT (i, r, c, room_id) FROM n))""")
+def false_walls(spark, sf):
+    from cellgrove.operators import walls
+
+    g = d.grid(spark, sf).select(*CELL, (F.floor(F.col("r") / 10) + 1).cast("int").alias("room_id"), "cls")
+    return walls.false_walls(g.union(g.where("cls IN (0, 3)").withColumn("cls", F.lit(4))).distinct())
