@@ -38,22 +38,25 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, size: int):
             yield np.zeros(0, dtype=U64)
 
 
-def signature(values: np.ndarray, by: np.ndarray) -> np.ndarray:
-    """MinHash under every multiplier; the coordinate is mixed in, so a value stands for itself."""
+def signature(values: np.ndarray, by: np.ndarray, rows: int) -> np.ndarray:
+    """MinHash under every multiplier, `rows` of them in each coordinate; its number is mixed in, so a value stands for itself."""
     low = np.full(len(by), np.iinfo(np.uint64).max, dtype=U64)
     for a in range(0, len(values), 4096):
         part = values[a : a + 4096] * by[:, None]
         part ^= part >> U64(29)
         np.minimum(low, part.min(axis=1), out=low)
-    return mix(low * U64(0x9E3779B97F4A7C15) + np.arange(len(by), dtype=U64))
+    out = np.arange(len(by) // rows, dtype=U64)
+    for part in low.reshape(-1, rows).T:
+        out = mix(out * U64(0x9E3779B97F4A7C15) + part)
+    return out
 
 
 def _set_hash(values: np.ndarray) -> int:
     return int(np.add.reduce(mix(values ^ U64(0x5851F42D4C957F2D))) + U64(len(values)))
 
 
-def _sketch(size: int, k: int):
-    by = _multipliers(k)
+def _sketch(size: int, k: int, per: int):
+    by = _multipliers(k * per)
 
     def f(rows, buf, offsets):
         n, keys, sigs = [], [], np.zeros((rows.num_rows, k), dtype=U64)
@@ -61,7 +64,7 @@ def _sketch(size: int, k: int):
             n.append(len(s))
             keys.append(_set_hash(s))
             if len(s):
-                sigs[i] = signature(s, by)
+                sigs[i] = signature(s, by, per)
         out = [rows.column(0), rows.column(1), pa.array(n, pa.int64()), pa.array(np.array(keys, dtype=U64).view(np.int64))]
         out.append(lists(sigs.view(np.int64).ravel(), np.arange(rows.num_rows + 1) * k, pa.int64()))
         return pa.RecordBatch.from_arrays(out, ["doc_id", "rid", "n_shingles", "v", "sig"])
@@ -109,16 +112,18 @@ def _rest(inside: DataFrame, percent: int, store: Store) -> DataFrame:
     count = F.size("t") - need + 1
     tokens = F.transform(F.slice("t", 1, F.greatest(count, F.lit(0))), lambda x: x["token"])
     key = [F.least("b", "p").alias("lo"), F.greatest("b", "p").alias("hi"), (F.col("b") <= F.col("p")).alias("small"), (F.col("b") >= F.col("p")).alias("large")]
-    posts = store.put(with_partner.where(count > 0).select("v", "label", *key, F.explode(tokens).alias("token")))
+    posts = store.put(with_partner.where(count > 0).select("v", "label", "n", F.size("t").alias("s"), *key, F.posexplode(tokens).alias("at", "token")))
     lists = posts.groupBy("token", "lo", "hi").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.max("small").alias("s"), F.max("large").alias("l"))
     lists = store.put(lists.where("a <> b AND s AND l").select("token", "lo", "hi"))
     left = store.put(posts.join(lists, ["token", "lo", "hi"], "left_semi"))
-    right = left.where("large").select("token", "lo", "hi", F.col("v").alias("w"), F.col("label").alias("other"))
-    pairs = left.where("small").join(right, ["token", "lo", "hi"]).where("label <> other")
+    right = left.where("large").select("token", "lo", "hi", F.col("v").alias("w"), F.col("label").alias("other"), F.col("n").alias("m"), F.col("s").alias("ws"), F.col("at").alias("wat"))
+    # the first shingle that both are posted under has at least `need` shared ones from it on, in either order
+    able = f"label <> other AND 100 * least(n, m) >= {percent} * greatest(n, m) AND {100 + percent} * least(s - at, ws - wat) >= {percent} * (n + m)"
+    pairs = left.where("small").join(right, ["token", "lo", "hi"]).where(able)
     return store.put(pairs.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 5, percent: int = 80, k: int = 64, matches: int = 36, name: str = "near") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 5, percent: int = 80, k: int = 64, rows_each: int = 2, matches: int = 22, name: str = "near") -> DataFrame:
     """Group documents whose shingle sets have 100 * intersection >= percent * union.
 
     Returns one row per input row: doc_id, rid (64-bit key of id and text),
@@ -127,9 +132,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Words are runs of bytes but white space, A-Z lowered; a shingle is `size`
     words. Rows with equal sets are one vertex. A vertex's signature has k
-    MinHash coordinates; pairs that agree in `matches` of them are compared on
-    the whole sets (for 0.8, 64 and 36 a true pair is missed with probability
-    5e-7). Two signatures that agree in that many places share one of any
+    coordinates of `rows_each` MinHash values; pairs that agree in `matches` of
+    them are compared on the whole sets (for 0.8, 64, 2 and 22 a true pair is
+    missed with probability 4e-7). Two signatures that agree in that many places share one of any
     k - matches + 1 coordinates, so each vertex is posted only under its rarest
     ones (prefix); a vertex with fewer than `matches` values that any other
     vertex has is not posted at all (skip). Every posting list first compares
@@ -145,7 +150,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     store = Store(spark, name)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(id_col, text_col).alias("rid"), F.col(text_col).alias("text"))
-    base = store.put(rows.mapInArrow(_sketch(size, k), "doc_id long, rid long, n_shingles long, v long, sig array<long>"))
+    base = store.put(rows.mapInArrow(_sketch(size, k, rows_each), "doc_id long, rid long, n_shingles long, v long, sig array<long>"))
 
     classes = store.put(base.where("n_shingles > 0").groupBy("v").agg(F.min("doc_id").alias("first_id"), F.min("rid").alias("rid")))
     one = store.put(base.where("n_shingles > 0").join(classes.select("v", "rid"), ["v", "rid"]).select("v", "n_shingles", "sig", "rid"))
