@@ -22,8 +22,16 @@ _BYTE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 _PATHS = "mh long, ph long, rid long, ord long, start long, n int"
 
 
+def _packed(first: np.ndarray, second: np.ndarray, third: np.ndarray) -> np.ndarray:
+    """Integers in the order of the triples of values from 0 to 2**31 - 1; pairs are named where three values exceed 63 bits."""
+    two, three = (int(x.max(initial=0)).bit_length() for x in (second, third))
+    if int(first.max(initial=0)).bit_length() + two + three > 63:
+        first, two, second = np.unique((first << two) | second, return_inverse=True)[1], 0, 0
+    return (first << (two + three)) | (second << three) | third
+
+
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """The suffixes of a sequence of integers from 0 to 2**20 in order, by the difference cover {1, 2} modulo 3.
+    """The suffixes of a sequence of integers from 0 to 2**31 - 2 in order, by the difference cover {1, 2} modulo 3.
 
     Suffixes that start at 1 or 2 modulo 3 are sorted by their first three
     values; equal triples share a name, and if any do, the sequence of names is
@@ -39,7 +47,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     # a place behind the end keeps the two halves of the names apart
     one, two = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
     sample = np.concatenate([one, two])
-    keys = (t[sample] << 42) | (t[sample + 1] << 21) | t[sample + 2]
+    keys = _packed(t[sample], t[sample + 1], t[sample + 2])
     order = np.argsort(keys, kind="stable")
     new = np.r_[True, keys[order][1:] != keys[order][:-1]]
     names = np.empty(len(sample), dtype=np.int64)
@@ -52,11 +60,13 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     sample = sample[order]
     sample = sample[sample < n]
     zero = np.arange(0, n, 3)
-    zero = zero[np.argsort((t[zero] << 42) | rank[zero + 1], kind="stable")]
+    zero = zero[np.argsort((t[zero] << 32) | rank[zero + 1], kind="stable")]
     is_one = sample % 3 == 1
     ones, twos = sample[is_one], sample[~is_one]
-    by_one = np.searchsorted((t[ones] << 42) | rank[ones + 1], (t[zero] << 42) | rank[zero + 1])
-    by_two = np.searchsorted((t[twos] << 42) | (t[twos + 1] << 21) | rank[twos + 2], (t[zero] << 42) | (t[zero + 1] << 21) | rank[zero + 2])
+    by_one = np.searchsorted((t[ones] << 32) | rank[ones + 1], (t[zero] << 32) | rank[zero + 1])
+    both = np.r_[twos, zero]
+    keys = _packed(t[both], t[both + 1], rank[both + 2])
+    by_two = np.searchsorted(keys[: len(twos)], keys[len(twos) :])
     out = np.empty(n, dtype=np.int64)
     at = np.arange(len(zero)) + by_one + by_two
     out[at] = zero

@@ -111,6 +111,16 @@ def test_suffix_arrays():
         assert suffix_array.suffix_array(np.array(t, dtype=np.int64)).tolist() == sorted(range(len(t)), key=lambda i: t[i:])
 
 
+def test_long_suffix_array():
+    t = np.random.default_rng(3).integers(0, 256, (1 << 22) + 5)
+    order = suffix_array.suffix_array(t)
+    assert (np.bincount(order, minlength=len(t)) == 1).all()
+    rank = np.full(len(t) + 1, -1)
+    rank[order] = np.arange(len(t))
+    a, b = order[:-1], order[1:]
+    assert ((t[a] < t[b]) | ((t[a] == t[b]) & (rank[a + 1] < rank[b + 1]))).all()
+
+
 def test_secrets(docs, doc_rows, none):
     out = secrets.report(secrets.scan(docs))
     texts = {r[0]: r[1] for r in doc_rows}
