@@ -40,15 +40,21 @@ def gaps(cells: DataFrame, walls: DataFrame, straight: int, diagonal: int) -> Da
     return between.select(F.expr("i + s * di").alias("i"), F.expr("r + s * dr").alias("r"), F.expr("c + s * dc").alias("c")).distinct()
 
 
-def slope(floors: DataFrame, radius: int, radius_diagonal: int, most: int) -> DataFrame:
+def slope(floors: DataFrame, radius: int, radius_diagonal: int, most: int, walls: DataFrame | None = None) -> DataFrame:
     """Floor cells with the largest height offset to a floor at the radius, over 8 directions; -1 without one.
 
     The nearest floor in the column there counts, if at most `most` cells off.
+    Directions with a wall among the cells of the slice up to the radius don't.
     """
     ends = [(0, a * (radius_diagonal if a and b else radius), b * (radius_diagonal if a and b else radius)) for _, a, b in offsets(8)]
     steps = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for _, a, b in ends])
     at = floors.select(*CELL).distinct()
     moved = at.withColumn("_o", F.explode(steps)).withColumns({"nr": F.col("r") + F.col("_o.dr"), "nc": F.col("c") + F.col("_o.dc")})
+    if walls is not None:
+        wall = walls.select(F.col("i").alias("ni"), F.col("r").alias("nr"), F.col("c").alias("nc")).distinct()
+        met = marched(at, offsets(8), radius, radius_diagonal).join(wall, ["ni", "nr", "nc"], "left_semi")
+        met = met.select(*CELL, F.signum("dr").cast("int").alias("sr"), F.signum("dc").cast("int").alias("sc")).distinct()
+        moved = moved.withColumns({"sr": F.signum("_o.dr").cast("int"), "sc": F.signum("_o.dc").cast("int")}).join(met, [*CELL, "sr", "sc"], "left_anti")
     other = at.select(F.col("i").alias("ni"), F.col("r").alias("nr"), F.col("c").alias("nc"))
     off = moved.join(other, ["nr", "nc"]).withColumn("off", F.abs(F.col("ni") - F.col("i"))).where(F.col("off") <= most)
     near = off.groupBy(*CELL, "nr", "nc").agg(F.min("off").alias("off")).groupBy(*CELL).agg(F.max("off").alias("slope"))

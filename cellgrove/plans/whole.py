@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellgrove.operators import components, evaluation, morphology, segments
+from cellgrove.operators import components, evaluation, morphology, rays, segments
 from cellgrove.operators.neighbours import CELL
 
 QUERIES = {}
@@ -68,3 +68,9 @@ def whole_largest_parts(spark, sf):
 def whole_id_clusters(spark, sf):
     s = spark.read.parquet(f"{sf}/supplier.parquet")
     return segments.cluster_mapping(s.selectExpr("s_suppkey AS a", "s_suppkey * 7 + s_nationkey AS b"))
+
+
+@query
+def whole_slopes(spark, sf):
+    n = lines(spark, sf).groupBy(*CELL).agg((F.min("l_orderkey") % 4 + 1).cast("int").alias("normal"))
+    return rays.slope(n.where("normal IN (2, 4)"), 2, 1, 4, n.where("normal = 3"))

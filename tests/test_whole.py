@@ -13,19 +13,19 @@ from cellgrove.plans.whole import QUERIES
 @pytest.fixture(scope="module")
 def rows():
     rng = random.Random(7)
-    return [(rng.randint(1, 50), rng.randint(1, 300), rng.randint(1, 300), rng.randint(1, 7), rng.choice([0.0, 0.02, 0.05, 0.08])) for _ in range(500)]
+    return [(rng.randint(1, 50), rng.randint(1, 300), rng.randint(1, 300), rng.randint(1, 7), rng.choice([0.0, 0.02, 0.05, 0.08]), rng.randint(1, 5000)) for _ in range(500)]
 
 
 @pytest.fixture(scope="module")
 def sf(spark, rows, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("sf"))
-    spark.createDataFrame([(float(q), s, p, n, t) for q, s, p, n, t in rows], "l_quantity double, l_suppkey long, l_partkey long, l_linenumber int, l_tax double").write.parquet(f"{at}/lineitem.parquet")
+    spark.createDataFrame([(float(x[0]), *x[1:]) for x in rows], "l_quantity double, l_suppkey long, l_partkey long, l_linenumber int, l_tax double, l_orderkey long").write.parquet(f"{at}/lineitem.parquet")
     spark.createDataFrame([(k, k % 25) for k in range(1, 200)], "s_suppkey long, s_nationkey int").write.parquet(f"{at}/supplier.parquet")
     return at
 
 
 def cells(rows, odd=None):
-    return {((q - 1) // 5, s // 20, p // 20) for q, s, p, n, _ in rows if odd is None or n % 2 == odd}
+    return {((q - 1) // 5, s // 20, p // 20) for q, s, p, n, *_ in rows if odd is None or n % 2 == odd}
 
 
 def moved(x, o):
@@ -90,3 +90,27 @@ def test_id_clusters(spark, sf):
         for a, b in ((k, k * 7 + k % 25), (k * 7 + k % 25, k)):
             links.setdefault(a, []).append(b)
     assert {x["source"]: x["target"] for x in QUERIES["whole_id_clusters"](spark, sf).collect()} == reached(links, links.get)
+
+
+def slopes(normal, walls):
+    floors, out = {x for x, n in normal.items() if n in (2, 4)}, {}
+    for i, r, c in floors:
+        found = [-1]
+        for _, a, b in offsets(8):
+            most = 1 if a and b else 2
+            if not any((i, r + d * a, c + d * b) in walls for d in range(1, most + 1)):
+                near = [abs(j - i) for j in range(i - 4, i + 5) if (j, r + most * a, c + most * b) in floors]
+                found += [min(near)] if near else []
+        out[i, r, c] = max(found)
+    return out
+
+
+def test_slopes_stop_at_walls(spark, sf, rows):
+    least = {}
+    for x in rows:
+        at = ((x[0] - 1) // 5, x[1] // 20, x[2] // 20)
+        least[at] = min(least.get(at, x[5]), x[5])
+    normal = {x: k % 4 + 1 for x, k in least.items()}
+    expected = slopes(normal, {x for x, n in normal.items() if n == 3})
+    assert expected != slopes(normal, set())
+    assert {(x["i"], x["r"], x["c"]): x["slope"] for x in QUERIES["whole_slopes"](spark, sf).collect()} == expected
