@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellgrove.operators import components, evaluation, morphology, rays, segments
+from cellgrove.operators import components, evaluation, morphology, rays, segments, walls
 from cellgrove.operators.neighbours import CELL
+from cellgrove.plans import derived as d
 
 QUERIES = {}
 #: Keys that share a row or column of cells.
@@ -32,6 +33,11 @@ def cells(spark: SparkSession, sf_dir: str, odd: int | None = None) -> DataFrame
     return (rows if odd is None else rows.where(F.col("l_linenumber") % 2 == odd)).select(*CELL).distinct()
 
 
+def block(side: int):
+    """A number from 1 for the block of side x side columns that holds a cell."""
+    return F.expr(f"CAST(r DIV {side} AS BIGINT) * 2097152 + c DIV {side} + 1")
+
+
 for _k in (4, 6, 8, 10, 18, 26):
 
     def _components(spark, sf, k=_k):
@@ -74,3 +80,19 @@ def whole_id_clusters(spark, sf):
 def whole_slopes(spark, sf):
     n = lines(spark, sf).groupBy(*CELL).agg((F.min("l_orderkey") % 4 + 1).cast("int").alias("normal"))
     return rays.slope(n.where("normal IN (2, 4)"), 2, 1, 4, n.where("normal = 3"))
+
+
+@query
+def whole_grown_layers(spark, sf):
+    n = lines(spark, sf).groupBy(*CELL).agg(F.min("l_orderkey").alias("k"))
+    s = n.select(*CELL, F.when(F.col("k") % 7 == 0, -block(10)).otherwise(block(5)).alias("label"))
+    return morphology.grown(s.where("label < 0"), s.where("label > 0"), 4)
+
+
+@query
+def whole_inherited_ids(spark, sf):
+    flag, cls = F.concat("l_returnflag", "l_linestatus"), F.lit(-1)
+    for k, f in enumerate(d._FLAGS):
+        cls = F.when(flag == f, k).otherwise(cls)
+    room = F.when(F.col("l_orderkey") % 13 == 0, block(5)).otherwise(0)
+    return walls.inherited_ids(lines(spark, sf).select(*CELL, room.alias("room_id"), cls.alias("cls")).distinct())

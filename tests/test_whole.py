@@ -114,3 +114,54 @@ def test_slopes_stop_at_walls(spark, sf, rows):
     expected = slopes(normal, {x for x, n in normal.items() if n == 3})
     assert expected != slopes(normal, set())
     assert {(x["i"], x["r"], x["c"]): x["slope"] for x in QUERIES["whole_slopes"](spark, sf).collect()} == expected
+
+
+@pytest.fixture(scope="module")
+def dense_rows():
+    rng = random.Random(11)
+    return [(rng.randint(1, 10), rng.randint(1, 400), rng.randint(1, 400), rng.randint(1, 5000), *rng.choice(["AF", "NF", "NO", "RF", "AO", "RO"])) for _ in range(900)]
+
+
+@pytest.fixture(scope="module")
+def dense(spark, dense_rows, tmp_path_factory):
+    at = str(tmp_path_factory.mktemp("dense"))
+    spark.createDataFrame([(float(x[0]), *x[1:]) for x in dense_rows], "l_quantity double, l_suppkey long, l_partkey long, l_orderkey long, l_returnflag string, l_linestatus string").write.parquet(f"{at}/lineitem.parquet")
+    return at
+
+
+def placed(rows):
+    return [(((x[0] - 1) // 5, x[1] // 20, x[2] // 20), *x[3:]) for x in rows]
+
+
+def block(x, side):
+    return x[1] // side * 2**21 + x[2] // side + 1
+
+
+def test_growth_goes_on_to_the_end(spark, dense, dense_rows):
+    least, have, layers = {}, {}, 0
+    for x, k, *_ in placed(dense_rows):
+        least[x] = min(least.get(x, k), k)
+    have = {x: -block(x, 10) for x, k in least.items() if k % 7 == 0}
+    while new := {x: min(n) for x in least if x not in have and (n := [have[y] for o in offsets(4) if (y := moved(x, o)) in have])}:
+        have, layers = have | new, layers + 1
+    assert layers > 3
+    assert {(x["i"], x["r"], x["c"]): x["label"] for x in QUERIES["whole_grown_layers"](spark, dense).collect()} == have
+
+
+def test_ids_are_inherited_to_the_end(spark, dense, dense_rows):
+    ids, kinds, grid, layers = {}, {}, set(), 0
+    for x, k, flag, status in placed(dense_rows):
+        room, cls = block(x, 5) if k % 13 == 0 else 0, ["AF", "NF", "NO", "RF", "AO", "RO"].index(flag + status)
+        ids.setdefault(x, set()).add(room)
+        kinds.setdefault(x, set()).add(cls)
+        grid.add((*x, room, cls))
+    one = {x: min(v) for x, v in ids.items() if len(v) == 1 and v != {0}}
+    left = {x for x, v in ids.items() if v == {0} and (4 in kinds[x] or not kinds[x] & {0, 3})}
+    taken = {}
+    while new := {x: n for x in left if (n := {one[y] for o in offsets(4) if (y := moved(x, o)) in one})}:
+        taken, left, layers = taken | new, left - set(new), layers + 1
+        one |= {x: min(n) for x, n in new.items() if len(n) == 1}
+    assert layers > 2
+    expected = {g for g in grid if g[:3] not in taken} | {(*g[:3], n, {1: 5, 2: 4}.get(g[4], g[4])) for g in grid if g[:3] in taken for n in taken[g[:3]]}
+    got = list(map(tuple, QUERIES["whole_inherited_ids"](spark, dense).collect()))
+    assert set(got) == expected and len(got) == len(expected)
