@@ -10,20 +10,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes and rows that are sent to a Python worker at once: a bound of memory, as long texts make rows large.
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 @contextmanager
-def setting(spark: SparkSession, key: str, value: str):
-    """A session setting for the time of a block."""
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings for the time of a block."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,7 +55,7 @@ class Store:
     def put(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        with setting(self.spark, CLEANUP, "true"):
+        with settings(self.spark, {CLEANUP: "true"} | BATCH):
             df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._stored_at = path
@@ -64,6 +68,14 @@ class Store:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_key(*columns: str):
     """A 64-bit key of a row by its id and text, so that rows that share an id but not a text stay apart."""
     return F.xxhash64(*[F.col(f"`{c}`") for c in columns])

@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellgrove.llm.arrow import by_slices
-from cellgrove.llm.paths import compact, expanded, places
+from cellgrove.llm.paths import compacted, places, repeated
 from cellgrove.llm.shared import Store, text_key
-from cellgrove.llm.words import covered, range_hashes, span_hashes, word_spans
+from cellgrove.llm.words import covered, span_hashes, word_spans
 
 WIDTH, ANCHOR = 35, 8
 
@@ -23,34 +23,19 @@ def _hashed(buf, offsets):
     return span_hashes(buf, starts, ends), first
 
 
-def _edges(width: int):
-    def f(rows, buf, offsets):
-        values, first = _hashed(buf, offsets)
-        until, start, n, single = places(rows.column(2))
-        base = np.repeat(first[:-1], np.diff(until)) + start
-        at = np.repeat(base - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        of = np.repeat(np.repeat(np.arange(rows.num_rows), np.diff(until)), n)
-        out = [pa.array(range_hashes(values, at, at + width).view(np.int64)), pa.array(rows.column(0).to_numpy()[of]), pa.array(at - first[of]), pa.array(np.repeat(single, n))]
-        return pa.RecordBatch.from_arrays(out, ["edge", "rid", "start", "single"])
-
-    return f
-
-
-def repeated_windows(texts: DataFrame, store: Store, width: int = WIDTH, k: int = ANCHOR) -> DataFrame:
-    """Per document (rid, text) with any, the windows of `width` words that start more than once in the corpus.
-
-    Returns rid and at, an array of (start, n): windows start at the words
-    start .. start + n - 1. Edges of the de Bruijn graph are the windows; paths
-    without a branch compact (see paths.py), and a path with a copy repeats as
-    a whole. Where an anchor has different paths, the graph branches: there a
-    path's edges are counted one by one, against one copy of every other path,
-    and their source coordinates say which of them repeat.
+def repeated_passages(texts: DataFrame, store: Store, width: int = WIDTH, k: int = ANCHOR) -> DataFrame:
+    """Compacted paths of the graph of `width`-word windows that start more than once: u, rid, start, n.
+
+    texts: rows (rid, text). Windows start at the words start .. start + n - 1,
+    so the passage has n + width - 1 words; passages of one u come from one
+    path (see paths.py).
     """
-    paths = compact(texts, _hashed, width, k, store)
-    edges = store.put(expanded(texts, paths, _edges(width), "edge long, rid long, start long, single boolean"))
-    again = store.put(edges.groupBy("edge").agg(F.count("*").alias("c")).where("c > 1").select("edge"))
-    ends = edges.where("single").join(again, "edge").select("rid", "start", F.lit(1).alias("n"))
-    found = paths.same.select("rid", "start", "n").union(paths.mixed.where("copies > 1").select("rid", "start", "n")).union(ends)
+    return compacted(repeated(texts, _hashed, width, k, store), store)
+
+
+def _removed(texts: DataFrame, store: Store, width: int, k: int) -> DataFrame:
+    """Per document with any, rid and at, an array of (start, n) of its repeated passages."""
+    found = repeated_passages(texts, store, width, k)
     return store.put(found.groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("at")))
 
 
@@ -107,7 +92,7 @@ def removal_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     store = Store(docs.sparkSession, name)
     texts = docs.select(text_key(id_col, text_col).alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    at = repeated_windows(texts, store, width, k)
+    at = _removed(texts, store, width, k)
     return texts.join(at, "rid", "left").select("rid", "doc_id", "text", "at").mapInArrow(_report(width), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -119,8 +104,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     store = Store(docs.sparkSession, name)
     texts = docs.select(text_key(id_col, text_col).alias("rid"), F.col(text_col).alias("text"))
-    at = repeated_windows(texts, store, width, k)
-    row = docs.select(text_key(id_col, text_col).alias("rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.lit(0).alias("_")).alias("row"), F.col(text_col).alias("text"))
+    at = _removed(texts, store, width, k)
+    # fields by number: names of other columns may clash in any way
+    fields = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    row = docs.select(text_key(id_col, text_col).alias("rid"), F.struct(*[f for f, c in zip(fields, docs.columns) if c != text_col], F.lit(0).alias("more")).alias("row"), F.col(text_col).alias("text"))
 
     def f(rows, buf, offsets):
         starts, ends, first = word_spans(buf, offsets)
@@ -137,4 +124,4 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     joined = row.join(at, "rid", "left").select("row", "text", "at")
     done = joined.mapInArrow(by_slices(f), f"row {joined.schema['row'].dataType.simpleString()}, text string")
-    return done.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return done.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from cellgrove.llm import bpe, encoding, near_dup, oracles, packing, prefix_tokens, quality, secrets, substring, suffix_array
+from cellgrove.llm import bpe, encoding, near_dup, oracles, packing, paths, prefix_tokens, quality, secrets, substring, suffix_array
 from cellgrove.llm.components import components
 from cellgrove.llm.shared import Store
 from cellgrove.llm.words import text_buffer
@@ -82,6 +82,42 @@ def test_repeated_windows_go(docs, doc_rows, none):
     assert substring.removal_report(none).count() == 0
 
 
+def test_repeated_rows_cost_no_more_than_their_number(spark):
+    text = " ".join(f"w{k % 97}x{k}" for k in range(150)) + " " + " ".join(f"r{k}" for k in range(40)) + " end " + " ".join(f"r{k}" for k in range(40))
+    for copies in (1, 10, 40):
+        rows = [(1, text)] * copies + [(2, " ".join(f"r{k}" for k in range(50)))]
+        d = spark.createDataFrame(rows, "doc_id long, text string")
+        same(substring.removal_report(d), brute.without_windows(rows, 35))
+        texts = d.selectExpr("xxhash64(doc_id, text) AS rid", "text")
+        store = Store(spark, "t")
+        edges = paths.repeated(texts, substring._hashed, 35, 8, store)
+        assert edges.count() == edges.select("rid", "start").distinct().count() <= 156 + 16
+
+
+def test_passages_are_compacted_paths(spark):
+    rng = random.Random(6)
+    words = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    long, other, ring = words(900), words(60), words(50)
+    rows = [words(30) + long + words(30), words(7) + long + words(9), words(20) + long[200:500] + words(20), words(11) + other + words(5), words(3) + other, ring * 4]
+    texts = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(rows)], "rid long, text string")
+    out = substring.repeated_passages(texts, Store(spark, "t")).collect()
+    at = {(r["rid"], r["start"]): r for r in out}
+    # the passage inside another one branches off it at both of its ends, or shares its path
+    assert sum(r["n"] for r in out if r["rid"] == 0) == sum(r["n"] for r in out if r["rid"] == 1) == 900 - 34
+    assert sum(r["n"] for r in out if r["rid"] == 2) == 300 - 34
+    assert len([r for r in out if r["rid"] in (0, 1)]) < 20
+    assert at[3, 11]["n"] == 26 and at[3, 11]["u"] == at[4, 3]["u"]
+    assert sum(r["n"] for r in out if r["rid"] == 5) == 200 - 34
+
+
+def test_ranks_of_chains_and_rings(spark):
+    links = [(k + 1, k, 2) for k in range(37)] + [(101, 100, 1), (100, 102, 1), (102, 101, 1)]
+    got = {r["v"]: (r["root"], r["off"]) for r in paths._ranked(spark.createDataFrame(links, "v long, to long, d int"), Store(spark, "t")).collect()}
+    assert all(got[k] == (0, 2 * k) for k in range(1, 38))
+    assert all(got[k] == (k, 0) for k in (100, 101, 102))
+    assert paths._ranked(spark.createDataFrame([], "v long, to long, d int"), Store(spark, "t")).count() == 0
+
+
 def test_cut_texts_keep_all_else(docs, doc_rows):
     out = substring.without_repeats(docs)
     assert out.columns == docs.columns and out.count() == len(doc_rows)
