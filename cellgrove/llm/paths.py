@@ -85,22 +85,22 @@ def repeated(texts: DataFrame, hashed, width: int, k: int, store: Store) -> Data
     """
     every = store.put(texts.select("rid", "text").mapInArrow(_emit(hashed, width, k), _RUN))
     again = every.groupBy("mh").agg(F.count("*").alias("c"), F.min("ph").alias("lo"), F.max("ph").alias("hi")).where("c > 1")
-    again = store.put(again.select("mh", (F.col("lo") == F.col("hi")).alias("one")))
-    found = store.put(every.join(again, "mh").select("ph", "rid", "start", "n", "one"))
+    again = again.select("mh", (F.col("lo") == F.col("hi")).alias("one"))
+    found = store.put(every.join(again, "mh").select("ph", "rid", "start", "n", "one"), small=True)
     store.drop(every)
     mixed = found.where("not one").drop("one")
-    copies = store.put(mixed.groupBy("ph").agg(F.count("*").alias("copies"), F.min("rid").alias("first")))
+    copies = store.put(mixed.groupBy("ph").agg(F.count("*").alias("copies"), F.min("rid").alias("first")), small=True)
     run = lambda whole, split, own: F.struct("start", "n", whole.alias("whole"), split.alias("split"), own.alias("own"))
     lone = F.col("copies") == 1
     at = found.where("one").select("rid", run(F.lit(True), F.lit(False), F.lit(False)).alias("x"))
     at = at.union(mixed.join(copies, "ph").select("rid", run(~lone, lone | (F.col("rid") == F.col("first")), lone).alias("x")))
     at = at.groupBy("rid").agg(F.collect_set("x").alias("at"))
     edges = store.put(texts.select("rid", "text").join(at, "rid").mapInArrow(_edges(hashed, width), _EDGE))
-    store.drop(again, found, copies)
-    proved = store.put(edges.groupBy("e", "proof").agg(F.count("*").alias("c")).where("c > 1").select("e", "proof"))
+    store.drop(found, copies)
+    proved = edges.groupBy("e", "proof").agg(F.count("*").alias("c")).where("c > 1").select("e", "proof")
     kept = edges.where("own").join(proved, ["e", "proof"]).groupBy("rid", "start").agg(F.max("n").alias("n"), F.max(F.struct("n", F.xxhash64("e", "proof").alias("g"))).alias("x"))
-    kept = store.put(kept.select(F.col("x.g").alias("g"), "rid", "start", "n"))
-    store.drop(edges, proved)
+    kept = store.put(kept.select(F.col("x.g").alias("g"), "rid", "start", "n"), small=True)
+    store.drop(edges)
     return kept
 
 
@@ -111,12 +111,15 @@ def _ranked(links: DataFrame, store: Store) -> DataFrame:
     before it: when a round ends no vertex's way, only rings are left, and each
     vertex of them is its own root.
     """
-    at, left, before = store.put(links.selectExpr("v", "to", "CAST(d AS LONG) AS d", "FALSE AS over")), -1, None
+    at, left, before = store.put(links.selectExpr("v", "to", "CAST(d AS LONG) AS d", "FALSE AS over"), small=True), -1, None
     while left not in (0, before):
-        on = at.selectExpr("v AS to", "to AS further", "d AS more", "over AS ends")
-        step = at.where("not over").join(on, "to", "left")
-        step = step.selectExpr("v", "coalesce(further, to) AS to", "d + coalesce(more, 0) AS d", "coalesce(ends, TRUE) AS over")
-        at, last = store.put(step.union(at.where("over").select("v", "to", "d", "over"))), at
+        last = at
+        for _ in range(2):
+            on = at.selectExpr("v AS to", "to AS further", "d AS more", "over AS ends")
+            step = at.where("not over").join(on, "to", "left")
+            step = step.selectExpr("v", "coalesce(further, to) AS to", "d + coalesce(more, 0) AS d", "coalesce(ends, TRUE) AS over")
+            at = step.union(at.where("over").select("v", "to", "d", "over"))
+        at = store.put(at, small=True)
         store.drop(last)
         before, left = left, at.where("not over").count()
     return at.selectExpr("v", "IF(over, to, v) AS root", "IF(over, d, 0) AS off")
@@ -132,15 +135,16 @@ def compacted(edges: DataFrame, store: Store) -> DataFrame:
     a part of a path, so spans are put together from its own coordinates.
     """
     tail = edges.selectExpr("rid", "start + n AS at", "g AS a", "n AS d")
-    pairs = store.put(tail.join(edges.selectExpr("rid", "start AS at", "g AS b"), ["rid", "at"]).groupBy("a", "b").agg(F.max("d").alias("d")))
+    pairs = store.put(tail.join(edges.selectExpr("rid", "start AS at", "g AS b"), ["rid", "at"]).groupBy("a", "b").agg(F.max("d").alias("d")), small=True)
     alone = lambda c: pairs.groupBy(c).agg(F.count("*").alias("c")).where("c = 1").select(c)
     links = pairs.join(alone("a"), "a").join(alone("b"), "b").where("a <> b").selectExpr("b AS v", "a AS to", "d")
     ranks = _ranked(links, store)
     named = edges.join(ranks, F.col("g") == F.col("v"), "left").selectExpr("coalesce(root, g) AS u", "rid", "start", "n", "start - coalesce(off, 0) AS base")
-    named = store.put(named)
-    spans = store.put(named.groupBy("rid", "u", "base").agg(F.min("start").alias("start"), (F.max(F.expr("start + n")) - F.min("start")).alias("n"), F.sum("n").alias("held")))
+    named = store.put(named, small=True)
+    store.drop(pairs)
+    spans = store.put(named.groupBy("rid", "u", "base").agg(F.min("start").alias("start"), (F.max(F.expr("start + n")) - F.min("start")).alias("n"), F.sum("n").alias("held")), small=True)
     gaps = spans.where("held < n").select("rid", "u", "base")
-    return store.put(spans.where("held = n").select("u", "rid", "start", "n").union(named.join(gaps, ["rid", "u", "base"]).select("u", "rid", "start", "n")))
+    return spans.where("held = n").select("u", "rid", "start", "n").union(named.join(gaps, ["rid", "u", "base"]).select("u", "rid", "start", "n"))
 
 
 def places(column: pa.Array) -> tuple[np.ndarray, ...]:

@@ -11,7 +11,12 @@ from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes and rows that are sent to a Python worker at once: a bound of memory, as long texts make rows large.
-BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": str(2 << 20), "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+
+#: Tables of keys and counts go to few files.
+FEW = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32m"}
+#: Bytes that a task holds of a table before it writes them out.
+ROW_GROUP = 16 << 20
 
 
 @contextmanager
@@ -52,11 +57,12 @@ class Store:
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
-    def put(self, df: DataFrame) -> DataFrame:
+    def put(self, df: DataFrame, *, small: bool = False) -> DataFrame:
+        """small: a table of keys and counts, written in few files."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        with settings(self.spark, {CLEANUP: "true"} | BATCH):
-            df.write.option("compression", "zstd").parquet(path)
+        with settings(self.spark, {CLEANUP: "true"} | BATCH | (FEW if small else {})):
+            df.write.option("compression", "zstd").option("parquet.block.size", str(ROW_GROUP)).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._stored_at = path
         return out

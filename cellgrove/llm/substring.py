@@ -36,7 +36,7 @@ def repeated_passages(texts: DataFrame, store: Store, width: int = WIDTH, k: int
 def _removed(texts: DataFrame, store: Store, width: int, k: int) -> DataFrame:
     """Per document with any, rid and at, an array of (start, n) of its repeated passages."""
     found = repeated_passages(texts, store, width, k)
-    return store.put(found.groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("at")))
+    return store.put(found.groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("at")), small=True)
 
 
 def _kept(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, keep: np.ndarray) -> bytes:
