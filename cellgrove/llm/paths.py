@@ -85,7 +85,7 @@ def repeated(texts: DataFrame, hashed, width: int, k: int, store: Store) -> Data
     """
     every = store.put(texts.select("rid", "text").mapInArrow(_emit(hashed, width, k), _RUN))
     again = every.groupBy("mh").agg(F.count("*").alias("c"), F.min("ph").alias("lo"), F.max("ph").alias("hi")).where("c > 1")
-    again = again.select("mh", (F.col("lo") == F.col("hi")).alias("one"))
+    again = store.put(again.select("mh", (F.col("lo") == F.col("hi")).alias("one")), small=True)
     found = store.put(every.join(again, "mh").select("ph", "rid", "start", "n", "one"), small=True)
     store.drop(every)
     mixed = found.where("not one").drop("one")
@@ -96,11 +96,11 @@ def repeated(texts: DataFrame, hashed, width: int, k: int, store: Store) -> Data
     at = at.union(mixed.join(copies, "ph").select("rid", run(~lone, lone | (F.col("rid") == F.col("first")), lone).alias("x")))
     at = at.groupBy("rid").agg(F.collect_set("x").alias("at"))
     edges = store.put(texts.select("rid", "text").join(at, "rid").mapInArrow(_edges(hashed, width), _EDGE))
-    store.drop(found, copies)
-    proved = edges.groupBy("e", "proof").agg(F.count("*").alias("c")).where("c > 1").select("e", "proof")
-    kept = edges.where("own").join(proved, ["e", "proof"]).groupBy("rid", "start").agg(F.max("n").alias("n"), F.max(F.struct("n", F.xxhash64("e", "proof").alias("g"))).alias("x"))
-    kept = store.put(kept.select(F.col("x.g").alias("g"), "rid", "start", "n"), small=True)
-    store.drop(edges)
+    store.drop(again, found, copies)
+    proved = store.put(edges.groupBy("e", "proof").agg(F.count("*").alias("c")).where("c > 1").select("e", "proof"), small=True)
+    kept = edges.where("own").join(proved, ["e", "proof"]).select(F.xxhash64("e", "proof").alias("g"), "rid", "start", "n")
+    kept = store.put(kept.groupBy("rid", "start").agg(F.max("n").alias("n"), F.max("g").alias("g")), small=True)
+    store.drop(edges, proved)
     return kept
 
 
