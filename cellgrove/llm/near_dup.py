@@ -127,8 +127,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Group documents whose shingle sets have 100 * intersection >= percent * union.
 
     Returns one row per input row: doc_id, rid (64-bit key of id and text),
-    n_shingles, component_id (the least doc_id that links reach) and kept
-    (doc_id is component_id).
+    n_shingles, component_id (the least doc_id that links reach), kept (doc_id
+    is component_id) and elected (the one of its group to keep: the least id,
+    null ids last, then the least rid; only repeated rows share it).
 
     Words are runs of bytes but white space, A-Z lowered; a shingle is `size`
     words. Rows with equal sets are one vertex. A vertex's signature has k
@@ -152,8 +153,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(id_col, text_col).alias("rid"), F.col(text_col).alias("text"))
     base = store.put(rows.mapInArrow(_sketch(size, k, rows_each), "doc_id long, rid long, n_shingles long, v long, sig array<long>"))
 
-    classes = store.put(base.where("n_shingles > 0").groupBy("v").agg(F.min("doc_id").alias("first_id"), F.min("rid").alias("rid")))
-    one = store.put(base.where("n_shingles > 0").join(classes.select("v", "rid"), ["v", "rid"]).select("v", "n_shingles", "sig", "rid"))
+    least = lambda *c: F.min(F.struct(F.col(c[0]).isNull().alias("no_id"), *[F.col(x).alias(y) for x, y in zip(c, ("id", "rid"))]))
+    classes = base.where("n_shingles > 0").groupBy("v").agg(least("doc_id", "rid").alias("one"), F.min("rid").alias("rid"))
+    classes = store.put(classes.select("v", "rid", F.col("one.id").alias("first_id"), F.col("one.rid").alias("first_rid")))
+    one = store.put(base.where("n_shingles > 0").join(classes.select("v", "rid"), ["v", "rid"]).groupBy("v").agg(*[F.first(c).alias(c) for c in ("n_shingles", "sig", "rid")]))
     tokens = one.select("v", F.explode("sig").alias("token"))
     shared = store.put(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"))
     mine = tokens.join(shared, "token").groupBy("v").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"), F.sum("df").alias("centrality")).where(F.size("t") >= matches)
@@ -196,12 +199,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labels = merged(labels, new, store)
 
     if labels is None:
-        links = classes.select("v", F.col("first_id").alias("component_id"))
+        links = classes.select("v", F.col("first_id").alias("component_id"), F.col("first_rid").alias("elected"))
     else:
-        joined = store.put(classes.select("v", "first_id").join(labels, "v", "left").select("v", "first_id", F.coalesce("label", "v").alias("label")))
-        least = store.put(joined.groupBy("label").agg(F.min("first_id").alias("component_id")))
-        links = joined.join(least, "label").select("v", "component_id")
+        joined = store.put(classes.drop("rid").join(labels, "v", "left").select("v", "first_id", "first_rid", F.coalesce("label", "v").alias("label")))
+        heads = store.put(joined.groupBy("label").agg(least("first_id", "first_rid").alias("one")))
+        links = joined.join(heads, "label").select("v", F.col("one.id").alias("component_id"), F.col("one.rid").alias("elected"))
     links = store.put(links)
     out = base.select("doc_id", "rid", "n_shingles", "v").join(links, "v", "left")
-    own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "rid", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    worded = F.col("n_shingles") > 0
+    own = F.when(worded, F.col("component_id")).otherwise(F.col("doc_id"))
+    elected = F.when(worded, F.col("elected") == F.col("rid")).otherwise(F.lit(True))
+    return out.select("doc_id", "rid", "n_shingles", own.alias("component_id"), elected.alias("elected")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
