@@ -53,29 +53,41 @@ def _joined(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["stop"])), ",")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "source", *, most_owners: int = 1, name: str = "secrets") -> DataFrame:
+def _part(docs: DataFrame, column: str | None) -> Column | None:
+    return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("")) if column and column in docs.columns else None
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str | None = None, *, most_owners: int = 1, most_repos: int = 5, name: str = "secrets") -> DataFrame:
     """Per row: doc_id, rid, found (sorted spans of start, kind, stop and secret hash, with `live`).
 
     Base kinds are always found. A candidate of another form (kind owned) is
-    found only if it looks live: its hash occurs in at most `most_owners`
-    owners, counted over the whole corpus; widely copied ones are examples.
-    `live` says the same of base spans. The corpus is aggregated by distinct
-    (hash, repository, owner) first, so a secret that very many rows hold costs
-    one row for each task. A null repository or owner is one of its own kind.
-    Null or empty text: nothing found. Repeated rows get the same spans; other
-    columns are ignored; an empty table gives an empty result.
+    found only if it looks live: its hash occurs with at most `most_owners`
+    owners and in at most `most_repos` repositories of the whole corpus; widely
+    copied ones are examples, and what one owner repeats in very many
+    repositories is a template. `live` says the same of base spans. Without an
+    owner column the owner is what stands before the first slash of the
+    repository (owner/name), or the repository itself without a slash. The
+    corpus is aggregated by distinct (hash, repository, owner) first, so a
+    secret that very many rows hold costs one row for each task. A null
+    repository or owner is one of its own kind. Null or empty text: nothing
+    found. Repeated rows get the same spans; other columns are ignored; an
+    empty table gives an empty result.
     """
     store = Store(docs.sparkSession, name)
-    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(id_col, text_col).alias("rid"), part(repo_col).alias("repo"), part(owner_col).alias("owner"), F.col(text_col).alias("text"))
+    repo = _part(docs, repo_col)
+    repo = F.lit("") if repo is None else repo
+    owner = _part(docs, owner_col)
+    owner = F.substring_index(repo, "/", 1) if owner is None else owner
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(id_col, text_col).alias("rid"), repo.alias("repo"), owner.alias("owner"), F.col(text_col).alias("text"))
     seen = rows.mapInArrow(_scan, f"doc_id long, rid long, repo string, owner string, found {_SPAN}")
     hashed = F.transform("found", lambda x: F.struct(x["start"], x["kind"], x["stop"], F.xxhash64(x["secret"]).alias("h")))
     seen = store.put(seen.withColumn("found", hashed))
     each = seen.where("size(found) > 0").select("rid", "repo", "owner", F.explode("found").alias("x"))
     held = each.select(F.col("x.h").alias("h"), "repo", "owner").distinct()
+    # two steps, each with partial sums: repositories of an owner, then owners and repositories of a hash
     held = held.groupBy("h", "owner").agg(F.count("*").alias("repos")).groupBy("h").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
-    live = store.put(held.where(F.col("owners") <= most_owners).select("h"))
-    alive = store.put(each.select("rid", "x", F.col("x.h").alias("h")).join(live, "h").select("rid", "x").distinct())
+    live = store.put(held.where((F.col("owners") <= most_owners) & (F.col("repos") <= most_repos)).select("h"), small=True)
+    alive = store.put(each.select("rid", "x", F.col("x.h").alias("h")).join(live, "h").select("rid", "x").distinct(), small=True)
     alive = alive.groupBy("rid").agg(F.collect_set(F.col("x")).alias("alive"))
     out = seen.join(alive, "rid", "left").select("doc_id", "rid", "found", F.coalesce("alive", F.array().cast("array<struct<start:int,kind:int,stop:int,h:bigint>>")).alias("alive"))
     marked = F.transform("found", lambda x: F.struct(x["start"], x["kind"], x["stop"], F.array_contains("alive", x).alias("live")))
@@ -90,22 +102,34 @@ def report(found: DataFrame) -> DataFrame:
     return found.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"), _joined(live).alias("live_spans"))
 
 
+def masked(text: str, spans: list[dict], mark: str) -> str:
+    """The text with every run of overlapping spans (start, stop), in order, replaced by one mark."""
+    out, at = [], 0
+    for x in spans:
+        if x["start"] >= at:
+            out += [text[at : x["start"]], mark]
+        at = max(at, x["stop"])
+    return "".join([*out, text[at:]])
+
+
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]", **how) -> DataFrame:
     """The same rows and columns with every span found replaced by a mark; other texts stay as they are.
 
-    Overlapping spans are replaced together by one mark.
+    Overlapping spans are replaced together by one mark. Null texts stay null;
+    repeated rows change alike; names of other columns may clash with any used
+    here; an empty table gives an empty result. Work is linear in the text.
     """
     found = scan(docs, id_col, text_col, **how)
-    found = found.where("size(found) > 0").dropDuplicates(["rid"]).select("rid", F.transform("found", lambda x: F.struct(x["start"], x["stop"])).alias("_found"))
-    rows = docs.select(text_key(id_col, text_col).alias("_rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    both = rows.join(found, F.col("_rid") == F.col("rid"), "left").select("_row", "_found")
-    text = F.col("_row").getField(text_col)
-    zero = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
-
-    def step(a, x):
-        ahead = F.when(x["start"] >= a["at"], F.concat(a["done"], F.substring(text, a["at"] + 1, x["start"] - a["at"]), F.lit(mark))).otherwise(a["done"])
-        return F.struct(ahead.alias("done"), F.greatest(a["at"], x["stop"]).alias("at"))
-
-    cut = F.aggregate(F.col("_found"), zero, step, lambda a: F.concat(a["done"], F.substring(text, a["at"] + 1, F.length(text))))
-    new = F.when(F.col("_found").isNull(), text).otherwise(cut)
-    return both.select(*[new.alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns])
+    found = found.where("size(found) > 0").groupBy("rid").agg(F.first(F.transform("found", lambda x: F.struct(x["start"], x["stop"]))).alias("at"))
+    # fields by number: names of other columns may clash in any way
+    kept = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col]
+    rows = docs.select(text_key(id_col, text_col).alias("rid"), F.struct(*kept, F.lit(0).alias("more")).alias("row"), F.col(text_col).alias("text"))
+    both = rows.join(found, "rid", "left").select("row", "text", "at")
+
+    def f(batches):
+        for b in batches:
+            texts = [t if t is None or not at else masked(t, at, mark) for t, at in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["row", "text"])
+
+    done = both.mapInArrow(f, f"row {both.schema['row'].dataType.simpleString()}, text string")
+    return done.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
