@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellgrove.llm import near_dup, packing, quality, secrets, substring
-from cellgrove.llm.shared import Store, text_key
+from cellgrove.llm.shared import Store, fresh, text_key
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -24,19 +24,22 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     only the base rules hold.
     """
     found = quality.rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), name="pipeline-1")
-    kept = found.where("kept").select(F.col("rid").alias("_rid"))
-    return docs.withColumn("_rid", text_key("doc_id", "text")).join(kept, "_rid", "left_semi").select(*docs.columns)
+    rid = fresh(docs, "rid")
+    kept = found.where("kept").select(F.col("rid").alias(rid))
+    return docs.withColumn(rid, text_key("doc_id", "text")).join(kept, rid, "left_semi").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of 5-word shingle similarity 0.8 or more: the one of the least id.
 
-    Repeated rows count once. Documents without words are never in a group.
+    Repeated rows count once; null ids come last. Documents without words are
+    never in a group.
     """
     found = near_dup.near_duplicates(docs, size=5, percent=80, name="pipeline-2")
-    kept = found.where("kept").select(F.col("rid").alias("_rid"))
-    rows = docs.withColumn("_rid", text_key("doc_id", "text")).join(kept, "_rid", "left_semi")
-    return rows.dropDuplicates(["_rid"]).select(*docs.columns)
+    rid = fresh(docs, "rid")
+    kept = found.where("elected").select(F.col("rid").alias(rid))
+    rows = docs.withColumn(rid, text_key("doc_id", "text")).join(kept, rid, "left_semi")
+    return rows.dropDuplicates([rid]).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,12 +51,19 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret found replaced by a mark. Null texts stay null."""
+    """All documents, with every secret found replaced by a mark.
+
+    Null texts stay null; repeated rows change alike; an empty table stays empty.
+    """
     return _counted(secrets.redacted(docs, name="pipeline-4"))
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document stands in sequences of 2048 ids."""
+    """Where each piece of each document stands in sequences of 2048 ids.
+
+    A null text is the end id alone; repeated rows are packed each by itself;
+    an empty table gives no sequences.
+    """
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path(VOCABULARY), size=2048, name="pipeline-5")
