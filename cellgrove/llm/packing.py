@@ -13,7 +13,7 @@ from cellgrove.llm.arrow import by_slices
 from cellgrove.llm.bpe import encoded, word_encoder
 from cellgrove.llm.shared import Store, text_key
 
-#: Pieces packed together by one task: a bound of memory that costs less than one sequence for each so many pieces.
+#: Pieces packed together by one task: a bound of memory. What a cell leaves underfull meets that of other cells later.
 CELL = 2048
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -41,76 +41,70 @@ def best_fit(lengths: list[int], size: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], size: int, rounds: int = 50) -> list[list[int]]:
-    """Move and exchange items between underfull bins while the sum of squared fills grows, until bins are empty.
+def local_search(bins: list[list[int]], lengths: list[int], size: int) -> list[list[int]]:
+    """Exchange items between underfull bins while the sum of squared fills grows, until bins are empty.
 
-    The least filled bin gives: an item moves into a bin with room for it, or
-    is exchanged for one smaller item of a fuller bin, or for two that are
-    smaller together, whenever the fuller bin has room for the difference. Each
-    step makes a fuller bin fuller, so the search ends.
+    Of two underfull bins the less filled one gives: it moves an item into the
+    other, or exchanges one for one, two for one, or one for two, whichever
+    fills the other most. Each step makes a bin that is at least as full fuller
+    by what the other loses, so squared fill grows with every step and the
+    search ends, at a packing that no such step improves, or once no packing
+    can do with fewer bins.
     """
     bins = [list(b) for b in bins if b]
-    least = -(-sum(lengths) // size)
     fill = [sum(lengths[i] for i in b) for b in bins]
-    for _ in range(rounds):
-        live = sorted((b for b in range(len(bins)) if 0 < fill[b] < size), key=lambda b: (fill[b], b))
-        if len(live) < 2 or sum(f > 0 for f in fill) <= least:
-            break
+    least, used = -(-sum(fill) // size), len(bins)
+    changed = True
+    while changed and used > least:
         changed = False
-        for src in live[: max(1, len(live) // 2)]:
-            for i in sorted(bins[src], key=lambda i: (-lengths[i], i)):
-                changed |= _give(i, src, live, bins, fill, lengths, size)
-        if not changed:
-            break
+        live = [b for b in range(len(bins)) if 0 < fill[b] < size]
+        for src in sorted(live, key=lambda b: (fill[b], b)):
+            while used > least and 0 < fill[src] < size:
+                step = None
+                for dst in sorted((b for b in live if b != src and fill[src] <= fill[b] < size), key=lambda b: (-fill[b], b)):
+                    found = _step([lengths[i] for i in bins[src]], [lengths[i] for i in bins[dst]], size - fill[dst])
+                    if found and (step is None or size - fill[dst] - found[0] < step[0]):
+                        step = (size - fill[dst] - found[0], dst, *found)
+                        if step[0] == 0:
+                            break
+                if step is None:
+                    break
+                _, dst, gain, out, back = step
+                out, back = [bins[src][i] for i in out], [bins[dst][j] for j in back]
+                bins[src] = [i for i in bins[src] if i not in out] + back
+                bins[dst] = [j for j in bins[dst] if j not in back] + out
+                fill[src] -= gain
+                fill[dst] += gain
+                used -= not bins[src]
+                changed = True
     return [b for b in bins if b]
 
 
-def _give(i, src, live, bins, fill, lengths, size) -> bool:
-    n = lengths[i]
-    best = None
-    for dst in reversed(live):
-        room = size - fill[dst]
-        if dst == src or not bins[dst] or fill[dst] < fill[src] or room == 0:
-            continue
-        if n <= room:
-            best = (room - n, dst, ())
-            if room == n:
+def _best(give: np.ndarray, take: np.ndarray, room: int) -> tuple[int, int, int] | None:
+    """The largest give[i] - take[j] from 1 to room, with i and j."""
+    order = np.argsort(give, kind="stable")
+    at = np.searchsorted(give[order], take + room, "right") - 1
+    gain = np.where(at >= 0, give[order][np.maximum(at, 0)] - take, 0)
+    j = int(np.argmax(gain))
+    return (int(gain[j]), int(order[at[j]]), j) if gain[j] > 0 else None
+
+
+def _step(src: list[int], dst: list[int], room: int) -> tuple[int, list[int], list[int]] | None:
+    """The step between two bins that fills the second most: the gain, places in the first that go, in the second that come back."""
+    a, b = np.array(src), np.array(dst)
+    nothing, best = np.zeros(1, dtype=np.int64), None
+    ai, aj = np.triu_indices(len(a), 1)
+    bi, bj = np.triu_indices(len(b), 1)
+    for kind, (give, take) in enumerate([(a, nothing), (a, b), (a[ai] + a[aj], b), (a, b[bi] + b[bj])]):
+        found = _best(give, take, room) if len(give) and len(take) else None
+        if found and (best is None or found[0] > best[0]):
+            gain, i, j = found
+            out = [int(ai[i]), int(aj[i])] if kind == 2 else [i]
+            back = [[], [j], [j], [int(bi[j]), int(bj[j])] if kind == 3 else []][kind]
+            best = (gain, out, back)
+            if gain == room:
                 break
-            continue
-        if best is not None and not best[2]:
-            continue
-        own = sorted((lengths[j], j) for j in bins[dst] if lengths[j] < n)
-        need = n - room
-        one = [(m, j) for m, j in own if m >= need]
-        if one and (best is None or room - (n - one[0][0]) < best[0]):
-            best = (room - (n - one[0][0]), dst, (one[0][1],))
-        lo, hi = 0, len(own) - 1
-        while lo < hi:
-            both = own[lo][0] + own[hi][0]
-            if need <= both < n:
-                if best is None or room - (n - both) < best[0]:
-                    best = (room - (n - both), dst, (own[lo][1], own[hi][1]))
-                hi -= 1
-            elif both < need:
-                lo += 1
-            else:
-                hi -= 1
-    if best is None:
-        return False
-    _, dst, back = best
-    gain = n - sum(lengths[j] for j in back)
-    if not back and src == dst:
-        return False
-    if (fill[dst] + gain) ** 2 + (fill[src] - gain) ** 2 <= fill[dst] ** 2 + fill[src] ** 2:
-        return False
-    bins[src].remove(i)
-    bins[dst].append(i)
-    for j in back:
-        bins[dst].remove(j)
-        bins[src].append(j)
-    fill[dst] += gain
-    fill[src] -= gain
-    return True
+    return best
 
 
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", *, size: int = 2048) -> DataFrame:
@@ -136,21 +130,28 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return rows.mapInArrow(by_slices(f, most=4 << 20), _PIECES + ", rid long")
 
 
-def _packed(size: int):
+def _packed(size: int, turn: int):
+    """Pack the pieces of one cell; in later turns they come as the bins of the turn before, which stay if nothing better is found."""
+
     def f(table: pa.Table) -> pa.Table:
-        order = [("rid", "ascending"), ("piece", "ascending"), ("n", "ascending")]
-        table = table.append_column("n", pa.array(range(table.num_rows))).sort_by(order)
+        order = ["sequence_id", "offset"] if turn else ["rid", "piece"]
+        table = table.append_column("n", pa.array(range(table.num_rows))).sort_by([(c, "ascending") for c in [*order, "n"]])
         lengths = table["length"].to_pylist()
         bins = local_search(best_fit(lengths, size), lengths, size)
-        at, offset = np.zeros(len(lengths), dtype=np.int64), np.zeros(len(lengths), dtype=np.int64)
+        if turn:
+            first = np.flatnonzero(table["offset"].to_numpy() == 0)
+            given = [p.tolist() for p in np.split(np.arange(len(lengths)), first[1:])]
+            bins = min(bins, local_search(given, lengths, size), key=len)
+        at, offset, fill = (np.zeros(len(lengths), dtype=np.int64) for _ in range(3))
         for b, items in enumerate(bins):
             to = 0
             for i in items:
                 at[i], offset[i] = b, to
                 to += lengths[i]
-        base = table["cell"][0].as_py() << 32
-        keep = ["doc_id", "piece", "start", "length", "ids_crc32"]
-        return table.select(keep).append_column("sequence_id", pa.array(at + base)).append_column("offset", pa.array(offset))
+            fill[items] = to
+        base = (turn << 56) | (table["cell"][0].as_py() << 24)
+        keep = ["doc_id", "piece", "start", "length", "ids_crc32", "rid"]
+        return table.select(keep).append_column("sequence_id", pa.array(at + base)).append_column("offset", pa.array(offset)).append_column("fill", pa.array(fill))
 
     return f
 
@@ -159,15 +160,32 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     """Every piece of every document in a sequence of at most `size` ids.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id and offset;
-    offsets of a sequence are gapless from 0. Pieces are spread evenly over
-    cells of about `cell`; in each, best fit decreasing and then exchanges
-    between underfull sequences (local_search) use as few as they can.
+    offsets of a sequence are gapless from 0. Pieces are spread over cells of
+    about `cell`, a bound of one task's memory. In each, best fit decreasing
+    and then exchanges between underfull sequences (local_search) leave few
+    that are not full. Those of all cells meet in new cells, turn by turn,
+    until no packing can have fewer sequences, or all underfull ones have met
+    in one cell, or a turn empties none.
     Null or empty text: the end id alone. Repeated rows are packed each by
     itself; null ids stay null; other columns are ignored; an empty table gives
     an empty result.
     """
     store = Store(docs.sparkSession, name)
     made = store.put(pieces(docs, path, id_col, text_col, size=size))
-    cells = max(1, round(made.count() / cell))
-    spread = made.withColumn("cell", F.pmod(F.xxhash64("rid", "piece", "ids_crc32"), F.lit(cells)))
-    return spread.groupBy("cell").applyInArrow(_packed(size), _PIECES + ", sequence_id long, offset long")
+    n, total = made.agg(F.count("*"), F.sum("length")).first()
+    least, cells, turn, closed, before = -(-(total or 0) // size), max(1, round(n / cell)), 0, [], None
+    rows = made.withColumn("cell", F.pmod(F.xxhash64("rid", "piece", "ids_crc32"), F.lit(cells)))
+    while True:
+        out = store.put(rows.groupBy("cell").applyInArrow(_packed(size, turn), _PIECES + ", rid long, sequence_id long, offset long, fill long"))
+        full = F.col("fill") == size
+        begins = F.col("offset") == 0
+        shut, left, n = out.agg(F.count(F.when(begins & full, 1)), F.count(F.when(begins & ~full, 1)), F.count(F.when(~full, 1))).first()
+        least -= shut
+        if left <= max(least, 1) or cells == 1 or left == before:
+            break
+        closed.append(out.where(full))
+        turn, before, cells = turn + 1, left, max(1, round(n / cell))
+        rows = out.where(~full).withColumn("cell", F.pmod(F.xxhash64("sequence_id", F.lit(turn)), F.lit(cells)))
+    for x in closed:
+        out = out.union(x)
+    return out.drop("rid", "fill")

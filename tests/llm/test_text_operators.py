@@ -275,6 +275,35 @@ def test_packing_holds_every_piece(docs, doc_rows, none, library):
     assert packing.pack(none, WORDS).count() == 0
 
 
+def test_local_search_beats_best_fit():
+    rng, fewer = random.Random(9), 0
+    for _ in range(30):
+        lengths = [rng.randint(18, 45) for _ in range(90)]
+        best = packing.best_fit(lengths, 100)
+        packed = packing.local_search(best, lengths, 100)
+        assert sorted(i for b in packed for i in b) == list(range(90)) and all(sum(lengths[i] for i in b) <= 100 for b in packed)
+        fewer += len(best) - len(packed)
+    assert fewer >= 10
+    # two go out for one, and one for two
+    assert len(packing.local_search([[0, 1, 2], [3], [4]], [30, 30, 40, 60, 40], 100)) == 2
+    assert len(packing.local_search([[0, 3], [1, 2, 4]], [60, 30, 30, 20, 10], 80)) == 2
+
+
+@pytest.mark.parametrize("cell", [40, 100000])
+def test_cells_cost_no_sequences(spark, cell):
+    rng = random.Random(12)
+    rows = [(k, " ".join(["a"] * rng.randint(1, 90))) for k in range(900)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), WORDS, size=128, cell=cell).collect()
+    total = sum(len(t.split()) + 1 for _, t in rows)
+    assert sum(r["length"] for r in out) == total
+    at = collections.defaultdict(list)
+    for r in out:
+        at[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in at.values():
+        assert [o for o, _ in sorted(parts)] == np.cumsum([0] + [n for _, n in sorted(parts)])[:-1].tolist() and sum(n for _, n in parts) <= 128
+    assert len(at) <= -(-total // 128) + 1
+
+
 def test_local_search_empties_bins():
     rng = random.Random(5)
     for _ in range(60):
