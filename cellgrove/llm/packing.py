@@ -44,67 +44,83 @@ def best_fit(lengths: list[int], size: int) -> list[list[int]]:
 def local_search(bins: list[list[int]], lengths: list[int], size: int) -> list[list[int]]:
     """Exchange items between underfull bins while the sum of squared fills grows, until bins are empty.
 
-    Of two underfull bins the less filled one gives: it moves an item into the
-    other, or exchanges one for one, two for one, or one for two, whichever
-    fills the other most. Each step makes a bin that is at least as full fuller
-    by what the other loses, so squared fill grows with every step and the
-    search ends, at a packing that no such step improves, or once no packing
-    can do with fewer bins.
+    The least filled bin gives: it moves an item into a fuller one, or
+    exchanges one for one, two for one, or one for two, whichever leaves that
+    bin the least room (of equal ones the step that moves most). A bin that is
+    at least as full grows by what the other loses, so squared fill grows with
+    every step and the search ends, at a packing that no such step improves.
+    What is left of room gathers in as few bins as the steps can bring it to.
     """
     bins = [list(b) for b in bins if b]
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    least, used = -(-sum(fill) // size), len(bins)
+    fill = np.array([sum(lengths[i] for i in b) for b in bins], dtype=np.int64)
+    sets = {b: _Takes(bins[b], lengths) for b in np.flatnonzero(fill < size).tolist()}
     changed = True
-    while changed and used > least:
+    while changed:
         changed = False
-        live = [b for b in range(len(bins)) if 0 < fill[b] < size]
-        for src in sorted(live, key=lambda b: (fill[b], b)):
-            while used > least and 0 < fill[src] < size:
-                step = None
-                for dst in sorted((b for b in live if b != src and fill[src] <= fill[b] < size), key=lambda b: (-fill[b], b)):
-                    found = _step([lengths[i] for i in bins[src]], [lengths[i] for i in bins[dst]], size - fill[dst])
-                    if found and (step is None or size - fill[dst] - found[0] < step[0]):
-                        step = (size - fill[dst] - found[0], dst, *found)
-                        if step[0] == 0:
-                            break
+        for src in sorted(sets, key=lambda b: (fill[b], b)):
+            while src in sets and len(sets) > 1:
+                step = _step(src, sets, fill, size)
                 if step is None:
                     break
-                _, dst, gain, out, back = step
-                out, back = [bins[src][i] for i in out], [bins[dst][j] for j in back]
+                dst, gain, out, back = step
                 bins[src] = [i for i in bins[src] if i not in out] + back
                 bins[dst] = [j for j in bins[dst] if j not in back] + out
                 fill[src] -= gain
                 fill[dst] += gain
-                used -= not bins[src]
+                for b in (src, dst):
+                    if 0 < fill[b] < size:
+                        sets[b] = _Takes(bins[b], lengths)
+                    else:
+                        del sets[b]
                 changed = True
     return [b for b in bins if b]
 
 
-def _best(give: np.ndarray, take: np.ndarray, room: int) -> tuple[int, int, int] | None:
-    """The largest give[i] - take[j] from 1 to room, with i and j."""
-    order = np.argsort(give, kind="stable")
-    at = np.searchsorted(give[order], take + room, "right") - 1
-    gain = np.where(at >= 0, give[order][np.maximum(at, 0)] - take, 0)
-    j = int(np.argmax(gain))
-    return (int(gain[j]), int(order[at[j]]), j) if gain[j] > 0 else None
-
-
-def _step(src: list[int], dst: list[int], room: int) -> tuple[int, list[int], list[int]] | None:
-    """The step between two bins that fills the second most: the gain, places in the first that go, in the second that come back."""
-    a, b = np.array(src), np.array(dst)
-    nothing, best = np.zeros(1, dtype=np.int64), None
-    ai, aj = np.triu_indices(len(a), 1)
-    bi, bj = np.triu_indices(len(b), 1)
-    for kind, (give, take) in enumerate([(a, nothing), (a, b), (a[ai] + a[aj], b), (a, b[bi] + b[bj])]):
-        found = _best(give, take, room) if len(give) and len(take) else None
-        if found and (best is None or found[0] > best[0]):
-            gain, i, j = found
-            out = [int(ai[i]), int(aj[i])] if kind == 2 else [i]
-            back = [[], [j], [j], [int(bi[j]), int(bj[j])] if kind == 3 else []][kind]
-            best = (gain, out, back)
-            if gain == room:
+class _Takes:
+    """What a bin may give: an item, or two, one choice for each sum of different lengths; sums and the items."""
+
+    def __init__(self, items: list[int], lengths: list[int]):
+        by: dict[int, list[int]] = {}
+        for i in items:
+            by.setdefault(lengths[i], []).append(i)
+        n = np.array(sorted(by), dtype=np.int64)
+        first = np.array([by[k][0] for k in n.tolist()], dtype=np.int64)
+        twice = np.array([k for k in n.tolist() if len(by[k]) > 1], dtype=np.int64)
+        i, j = np.triu_indices(len(n), 1)
+        self.one, self.one_of = n, first
+        self.two = np.r_[n[i] + n[j], 2 * twice]
+        self.two_of = np.stack([np.r_[first[i], [by[k][0] for k in twice.tolist()]], np.r_[first[j], [by[k][1] for k in twice.tolist()]]], axis=1).astype(np.int64)
+
+
+def _step(src: int, sets: dict[int, _Takes], fill: np.ndarray, size: int) -> tuple[int, int, list[int], list[int]] | None:
+    """The step of a bin that leaves another the least room: that bin, the gain, the items that go and those that come back."""
+    own, others = sets[src], [b for b in sets if b != src and fill[b] >= fill[src]]
+    if not others:
+        return None
+    room = size - fill[others]
+    none = np.zeros(len(others), dtype=np.int64)
+    one, two = [sets[b].one for b in others], [sets[b].two for b in others]
+    best = None
+    for give, back_n, take in ((own.one, 0, none), (own.one, 1, np.concatenate(one)), (own.two, 1, np.concatenate(one)), (own.one, 2, np.concatenate(two))):
+        if not len(give) or not len(take):
+            continue
+        of = np.arange(len(others)) if back_n == 0 else np.repeat(np.arange(len(others)), [len(x) for x in (one if back_n == 1 else two)])
+        order = np.argsort(give, kind="stable")
+        at = np.searchsorted(give[order], take + room[of], "right") - 1
+        gain = np.where(at >= 0, give[order][np.maximum(at, 0)] - take, 0)
+        left = np.where(gain > 0, (room[of] - gain) * (size + 1) - gain, np.iinfo(np.int64).max)
+        k = int(np.argmin(left))
+        if gain[k] > 0 and (best is None or left[k] < best[0]):
+            best = (left[k], give is own.two, int(order[at[k]]), back_n, int(of[k]), k - int(np.searchsorted(of, of[k])), int(gain[k]))
+            if best[0] < 0:
                 break
-    return best
+    if best is None:
+        return None
+    _, pair, i, back_n, d, j, gain = best
+    other = sets[others[d]]
+    out = own.two_of[i].tolist() if pair else [int(own.one_of[i])]
+    back = [] if back_n == 0 else [int(other.one_of[j])] if back_n == 1 else other.two_of[j].tolist()
+    return others[d], gain, out, back
 
 
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", *, size: int = 2048) -> DataFrame:
