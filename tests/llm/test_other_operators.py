@@ -1,7 +1,9 @@
 """Vectors, urls and the pipeline."""
 
 import collections
+import pickle
 import random
+import time
 
 import numpy as np
 import pytest
@@ -83,6 +85,27 @@ def test_urls_against_plain_rules(spark):
         urls.Trie([("org", "x", True)])
 
 
+def test_many_rules_are_joined(spark):
+    rng = random.Random(3)
+    hosts, parts = ["a.org", "org", "b.a.org", "com", "x.com"], ["", "e", "en", "en1", "é", "f"]
+    path = lambda n: "/" + "/".join(rng.choice(parts) for _ in range(rng.randint(0, n)))
+    rules = [(rng.choice(hosts), path(3), rng.random() < 0.5) for _ in range(60)]
+    rows = [(k, f"h://{rng.choice([*hosts, 'c.b.a.org', 'net'])}{path(4)}") for k in range(500)] + [(7, None), (None, "h://org"), (3, "h://org/e")] * 2
+    d = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "1 AS rid", "2 AS Rule")
+    key = lambda r: repr(tuple(r))
+    sent, joined = urls.judge(d, rules).collect(), urls.judge(d, rules, most_bytes=0).collect()
+    assert sorted(map(tuple, sent), key=key) == sorted(map(tuple, joined), key=key) and len(sent) == len(rows)
+    assert urls.judge(d.limit(0), rules, most_bytes=0).count() == 0
+
+
+def test_long_urls_are_linear():
+    trie = urls.Trie([("org", "/" + "a/" * 3000, True), ("org", "/" + "b" * 5000, False)])
+    began = time.time()
+    assert trie.judge("org", "/" + "b" * 2_000_000)[1] is False and trie.judge("org", "/" + "a/" * 500_000)[1] is True
+    assert time.time() - began < 2
+    assert pickle.loads(pickle.dumps(trie)).judge("x.org", "/" + "a/" * 3000)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_matches_sql(name, spark, sql, rows_of):
     assert rows_of(queries.QUERIES[name](spark, DATA)) == sql(queries.ORACLE_SQL[name])
