@@ -7,10 +7,10 @@ import functools
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellgrove.llm.arrow import by_slices
+from cellgrove.llm.arrow import by_slices, lists
 from cellgrove.llm.bpe import KEPT, Merger
 from cellgrove.llm.words import U64, mix, span_hashes, word_spans
 
@@ -18,10 +18,18 @@ SPACE = "▁"
 #: White space that stands in no piece of the vocabularies of this kind; other white space does.
 _BREAKS = np.zeros(256, dtype=bool)
 _BREAKS[[0x20, 0x09, 0x0A]] = True
-#: Characters of a unit above which it is taken by itself.
+#: Characters of a unit above which it is taken in windows.
 SHORT = 64
 
 
+#: Characters of the windows in which longer units are taken side by side.
+WINDOW = 512
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.int64)
+
+
 class PrefixCounter:
     """Token counts of all prefixes of a text under a sentencepiece BPE vocabulary with byte fallback.
 
@@ -82,6 +90,7 @@ class PrefixCounter:
 
     def clear(self) -> None:
         self.place: dict[int, int] = {}
+        self.pairs: dict[tuple[int, int], bool] = {}
 
     def _matches(self, chars: np.ndarray, until: np.ndarray):
         """For l = 1, 2, ...: the starts at which a known string of l characters begins, and the piece it is or -1."""
@@ -122,8 +131,8 @@ class PrefixCounter:
             got[missing] = (new | answer)[order][np.searchsorted(new[order], keys[missing])]
         return (got & 1) == 1
 
-    def counts(self, chars: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Token counts of all prefixes of units of code points; unit i is chars[offsets[i] : offsets[i + 1]]."""
+    def counts(self, chars: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token counts of all prefixes of units of code points, and their last tokens; unit i is chars[offsets[i] : offsets[i + 1]]."""
         lengths = np.diff(offsets)
         until = np.repeat(offsets[1:], lengths)
         first = np.repeat(offsets[:-1], lengths)
@@ -156,30 +165,85 @@ class PrefixCounter:
             s, e, p, head = s[ok], e[ok], p[ok], head[ok]
             last[e] = p
             count[e] = np.where(head, 0, count[s - 1]) + np.where(p == self.unknown, bytes_[s], self.cost[np.minimum(p, self.unknown - 1)])
-        return count
+        return count, last
+
+    def _windows(self, texts: list[np.ndarray], size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Last tokens and counts of all prefixes of windows of the texts, side by side."""
+        offs = np.r_[0, np.cumsum([len(x) for x in texts])]
+        count, last = self.counts(np.concatenate(texts), offs)
+        return [(last[a:b], count[a:b]) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
+
+    def long_counts(self, texts: list[np.ndarray]) -> list[np.ndarray]:
+        """Token counts of all prefixes of units of any length.
+
+        A unit is cut into windows that overlap, and the program runs over all
+        windows side by side, each as if a unit began there. What it finds at a
+        place depends on the last tokens of as many places before it as the
+        longest piece has characters. So where a window has agreed with the one
+        before it for that long, in its last tokens and in the difference of
+        counts, it agrees from there on. Where it doesn't within the overlap,
+        prefixes follow one by one until it does.
+        """
+        reach = int(self.lengths.max())
+        lap, size = 4 * reach, max(WINDOW, 8 * reach)
+        cuts = [[(a, min(len(x), a + size + lap)) for a in range(0, max(1, len(x) - lap), size)] for x in texts]
+        flat = [x[a:b] for x, c in zip(texts, cuts) for a, b in c]
+        found = iter(self._windows(flat, size + lap)) if flat else iter(())
+        out = []
+        for x, own in zip(texts, cuts):
+            count, last = np.zeros(len(x), dtype=np.int64), np.full(len(x), -1, dtype=np.int64)
+            for k, (a, b) in enumerate(own):
+                wl, wc = next(found)
+                known = own[k - 1][1] if k else 0
+                at = self._meets(last[a:known], count[a:known], wl, wc, reach) if k else 0
+                if at is None:
+                    known = self._onward(x, last, count, known, b, lambda e: self._meets(last[e - reach : e], count[e - reach : e], wl[e - reach - a :], wc[e - reach - a :], reach) is not None)  # noqa: B023
+                    if known == b:
+                        continue
+                    at = known - 1 - a
+                off = count[a + at] - wc[at] if k else 0
+                last[a + at : b], count[a + at : b] = wl[at:], wc[at:] + off
+            out.append(count)
+        return out
 
-    def _long(self, chars: np.ndarray) -> np.ndarray:
-        """The same for one unit of any length, prefix by prefix."""
-        n = len(chars)
-        ending: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for step, at, piece in self._matches(chars, np.full(n, n)):
+    @staticmethod
+    def _meets(last, count, window_last, window_count, reach: int) -> int | None:
+        """The last place of the first stretch of `reach` places that agree in tokens and in the difference of counts."""
+        n = len(last)
+        off = count - window_count[:n]
+        same = (last == window_last[:n]) & np.r_[True, off[1:] == off[:-1]]
+        same[:1] = last[:1] == window_last[:1]
+        run = np.r_[0, np.cumsum(same)]
+        ends = np.flatnonzero(run[reach:] - run[: len(run) - reach] == reach) if n >= reach else []
+        return int(ends[0]) + reach - 1 if len(ends) else None
+
+    def _onward(self, chars: np.ndarray, last: np.ndarray, count: np.ndarray, a: int, b: int, over) -> int:
+        """Fill places from a to b - 1 one by one from what stands before them, until over(place behind) holds; the place behind the last one filled."""
+        lo = max(0, a - int(self.lengths.max()))
+        ending: list[list[tuple[int, int]]] = [[] for _ in range(b - lo)]
+        for step, at, piece in self._matches(chars[lo:b], np.full(b - lo, b - lo)):
             for s, p in zip(at[piece >= 0].tolist(), piece[piece >= 0].tolist()):
-                ending[s + step - 1].append((s, p))
-        last, count = [0] * n, np.zeros(n, dtype=np.int64)
-        for e in range(n):
+                ending[s + step - 1].append((s + lo, p))
+        for e in range(a, b):
             if self.single[chars[e]] == self.unknown:
                 last[e] = self.unknown
                 count[e] = (count[e - 1] if e else 0) + len(chr(chars[e]).encode("utf-8", "replace"))
-                continue
-            for s, p in ending[e]:
-                if s == 0 or last[s - 1] == self.unknown or self._pair(last[s - 1], p):
-                    last[e] = p
-                    count[e] = (count[s - 1] if s else 0) + self.cost[p]
-                    break
-        return count
+            else:
+                for s, p in ending[e - lo]:
+                    if s == 0 or last[s - 1] == self.unknown or self._pair(int(last[s - 1]), p):
+                        last[e] = p
+                        count[e] = (count[s - 1] if s else 0) + self.cost[p]
+                        break
+            if (e - a) % 64 == 63 and over(e + 1):
+                return e + 1
+        return b
 
     def _pair(self, a: int, b: int) -> bool:
-        return bool(self._valid(np.array([a]), np.array([b]))[0])
+        if len(self.pairs) > KEPT:
+            self.pairs.clear()
+        if (a, b) not in self.pairs:
+            self.pairs[a, b] = bool(self._valid(np.array([a]), np.array([b]))[0])
+        return self.pairs[a, b]
 
     def _units(self, texts: list[str]) -> np.ndarray:
         """Token counts of whole units."""
@@ -188,18 +252,19 @@ class PrefixCounter:
         if short:
             chars = np.frombuffer("".join([texts[i] for i in short]).encode("utf-32-le"), dtype="<u4").astype(np.int64)
             offs = np.r_[0, np.cumsum([len(texts[i]) for i in short])]
-            out[short] = self.counts(chars, offs)[offs[1:] - 1]
-        for i, t in enumerate(texts):
-            if len(t) > SHORT:
-                out[i] = self._long(np.frombuffer(t.encode("utf-32-le"), dtype="<u4").astype(np.int64))[-1]
+            out[short] = self.counts(chars, offs)[0][offs[1:] - 1]
+        long = [i for i, t in enumerate(texts) if len(t) > SHORT]
+        for i, n in zip(long, self.long_counts([_codes(texts[i]) for i in long])):
+            out[i] = n[-1]
         return out
 
     def prefixes(self, text: str) -> np.ndarray:
         """The token count of every prefix of a text; entry i is for its first i + 1 characters."""
-        if not text:
-            return np.zeros(0, dtype=np.int64)
-        chars = (SPACE + text).replace(" ", SPACE)
-        return self._long(np.frombuffer(chars.encode("utf-32-le"), dtype="<u4").astype(np.int64))[1:]
+        return self.all_prefixes([text])[0]
+
+    def all_prefixes(self, texts: list[str]) -> list[np.ndarray]:
+        """The same for many texts side by side."""
+        return [n[1:] for n in self.long_counts([_codes(SPACE + t.replace(" ", SPACE)) for t in texts])]
 
     def totals_of(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Token counts of rows of text: the last entries of their prefixes."""
@@ -241,8 +306,9 @@ class PrefixCounter:
             out += np.diff(np.r_[0, np.cumsum(found[codes])][first])
         mark = np.frombuffer(SPACE.encode(), dtype=np.uint8)
         strange = np.flatnonzero((buf[:-2] == mark[0]) & (buf[1:-1] == mark[1]) & (buf[2:] == mark[2])) if len(buf) > 2 else starts[:0]
-        for i in np.unique(np.searchsorted(offsets, strange, "right") - 1).tolist():
-            out[i] = self.prefixes(buf[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace"))[-1]
+        odd = np.unique(np.searchsorted(offsets, strange, "right") - 1).tolist()
+        for i, n in zip(odd, self.all_prefixes([buf[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace") for i in odd])):
+            out[i] = n[-1]
         return out
 
 
@@ -267,19 +333,36 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     return rows.mapInArrow(by_slices(f), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
-def within_budgets(docs: DataFrame, path: str, budgets: list[int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and cuts: for each budget the longest prefix, in characters, of at most so many tokens.
+def prefix_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and counts (array<int>): the exact token count of every prefix, by its number of characters less one.
 
-    One pass of the prefix counts answers all budgets. Null or empty text: 0.
+    The last entry is the count of the whole text. Null or empty text: no
+    entries. Repeated rows, null ids and other columns change nothing; an empty
+    table gives an empty result.
     """
 
     def f(rows, buf, offsets):
-        out = []
-        for i in range(rows.num_rows):
-            n = prefix_counter(path).prefixes(buf[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace"))
-            fits = [np.flatnonzero(n <= b) for b in budgets]
-            out.append([int(x[-1]) + 1 if len(x) else 0 for x in fits])
-        return pa.RecordBatch.from_arrays([rows.column(0), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "cuts"])
+        texts = [buf[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:])]
+        n = prefix_counter(path).all_prefixes(texts)
+        at = np.r_[0, np.cumsum([len(x) for x in n])]
+        return pa.RecordBatch.from_arrays([rows.column(0), lists(np.concatenate([*n, np.zeros(0, dtype=np.int64)]).astype(np.int32), at, pa.int32())], ["doc_id", "counts"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(by_slices(f), "doc_id long, cuts array<long>")
+    return rows.mapInArrow(by_slices(f, most=1 << 20), "doc_id long, counts array<int>")
+
+
+def longest_prefix(counts: Column, budget: int) -> Column:
+    """Characters of the longest prefix of at most so many tokens, from stored counts; null counts give 0."""
+    fits = F.filter(F.transform(counts, lambda n, i: F.when(n <= budget, i + 1)), lambda i: i.isNotNull())
+    return F.coalesce(F.array_max(fits), F.lit(0)).cast("long")
+
+
+def within_budgets(docs: DataFrame, path: str, budgets: list[int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and cuts: for each budget the longest prefix, in characters, of at most so many tokens.
+
+    One pass of the prefix counts answers all budgets; nothing is encoded
+    again. Null or empty text: 0. Repeated rows, null ids and other columns
+    change nothing; an empty table gives an empty result.
+    """
+    made = prefix_counts(docs, path, id_col, text_col)
+    return made.select("doc_id", F.array(*[longest_prefix(F.col("counts"), b) for b in budgets]).alias("cuts"))

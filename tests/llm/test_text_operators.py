@@ -232,6 +232,28 @@ def test_counts_of_all_prefixes(spark):
     assert got == {1: fits, 2: [0, 0, 0]}
 
 
+def test_prefixes_of_long_units():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rng = random.Random(3)
+    any_of = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    texts = [any_of("abcdefghijklmnopqrstuvwxyz0123456789+/", 6000), "a" * 3000, "ab" * 1500, "=" * 1200 + "-" * 1200, any_of("日本語中文字", 3000), " " * 2500 + "x", any_of("abet ", 4000), any_of("ab", 60) * 40]
+    for t, n in zip(texts, prefix_tokens.prefix_counter(PIECES).all_prefixes(texts)):
+        assert len(n) == len(t)
+        for k in [1, 511, 512, 513, 575, 576, 577, len(t), *rng.sample(range(1, len(t) + 1), 25)]:
+            assert n[k - 1] == len(sp.encode(t[:k])), (t[:8], k)
+
+
+def test_stored_prefix_counts(spark, docs, doc_rows):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    got = prefix_tokens.prefix_counts(docs.where("doc_id <> 5"), PIECES).collect()
+    texts = {r[0]: r[1] or "" for r in doc_rows}
+    assert all(len(r["counts"]) == len(texts[r["doc_id"]]) and (not r["counts"] or r["counts"][-1] == len(sp.encode(texts[r["doc_id"]]))) for r in got)
+
+
 def _fewest(lengths, size):
     """The least number of bins, by trying all ways."""
     part, best = sorted((x for x in lengths if x < size), reverse=True), [len(lengths)]
