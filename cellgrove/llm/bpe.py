@@ -2,9 +2,11 @@
 
 It gives the ids that the tokenizers library gives for the same vocabulary
 file. A text splits at ASCII white space whatever else stands in it, so words
-are encoded once and kept by their hash. Words of letters, digits and marks of
-ASCII and Latin-1 are merged here, all words of a batch side by side; any other
-word goes to the library.
+are are encoded once and kept by their hash. Words of letters, digits and marks of
+ASCII and Latin-1 are split and merged here, all words of a batch side by side.
+Other words are split by the library's own normalizer and rules; long pieces of
+them are merged here as well, so that unsplit text of any script is a tree, and
+short words go to the library whole.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from cellgrove.llm.words import U64, span_hashes, word_spans
 _NONE = np.iinfo(np.int64).max
 #: Pieces kept before the store starts anew: a bound of memory, not of results.
 KEPT = 1_000_000
+#: Bytes of their ids that are kept at most.
+KEPT_BYTES = 64 << 20
 #: Symbols of one piece above which halves are encoded and then joined.
 LEAF = 16
 # the byte alphabet of byte-level vocabularies: printable bytes stand for themselves, the others for 256, 257, ...
@@ -208,6 +212,7 @@ class WordEncoder:
         self.merger = Merger(np.array([(vocab[a], vocab[b]) for a, b in merges]), np.arange(len(merges)), made, sizes)
         self.leaf = leaf
         alphabet = byte_alphabet()
+        self.byte_of = {c: b for b, c in enumerate(alphabet)}
         self.inner = np.array([vocab[c] for c in alphabet])
         self.last = np.array([vocab[c + end] for c in alphabet])
         self.token = [self.library.id_to_token(i) or "" for i in range(self.library.get_vocab_size())]
@@ -216,13 +221,14 @@ class WordEncoder:
     def clear(self) -> None:
         self.place: dict[int, int] = {}
         self.ids: list[bytes] = []
+        self.held = 0
 
     def of(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The place in self.ids of every piece of the words, and the number of pieces before each word.
 
         The bytes at a place are ids, little-endian 32-bit. Places hold until the next call.
         """
-        if len(self.ids) > KEPT:
+        if len(self.ids) > KEPT or self.held > KEPT_BYTES:
             self.clear()
         buf, pieces, until, first, odd = _pieces(buf, starts, ends)
         hashes = span_hashes(buf, pieces, until) ^ (odd.astype(U64) * U64(0xA5A5A5A5A5A5A5A5))
@@ -238,11 +244,26 @@ class WordEncoder:
             raw = [whole[a:b] for a, b in zip(pieces[at].tolist(), until[at].tolist())]
             strange = odd[at].tolist()
             merged = iter(self._merged([x for x, o in zip(raw, strange) if not o]))
-            others = [x.decode("utf-8", "replace") for x, o in zip(raw, strange) if o]
-            others = iter(self.library.encode_batch(others, add_special_tokens=False) if others else [])
-            self.ids += [np.array(next(others).ids, dtype="<u4").tobytes() if o else next(merged) for o in strange]
+            others = iter(self._others([x.decode("utf-8", "replace") for x, o in zip(raw, strange) if o]))
+            made = [next(others) if o else next(merged) for o in strange]
+            self.ids += made
+            self.held += sum(map(len, made))
         return found[codes], first
 
+    def _others(self, words: list[str]) -> list[bytes]:
+        """Ids of words that hold other characters; those that may hold a special token go to the library as well."""
+        split = [len(w) > self.leaf and "<|" not in w for w in words]
+        pieces = [self._split(w) if s else [] for w, s in zip(words, split)]
+        merged = iter(self._merged([x for p in pieces for x in p]))
+        whole = [w for w, s in zip(words, split) if not s]
+        whole = iter(self.library.encode_batch(whole, add_special_tokens=False) if whole else [])
+        return [b"".join([next(merged) for _ in p]) if s else np.array(next(whole).ids, dtype="<u4").tobytes() for p, s in zip(pieces, split)]
+
+    def _split(self, word: str) -> list[bytes]:
+        """The pieces of a word as bytes; the library gives them in the byte alphabet."""
+        split = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(word))
+        return [bytes(map(self.byte_of.__getitem__, x)) for x, _ in split]
+
     def _merged(self, raw: list[bytes]) -> list[bytes]:
         if not raw:
             return []

@@ -208,6 +208,19 @@ def test_trees_of_long_pieces(library, leaf):
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("leaf", [4, 16])
+def test_trees_of_other_scripts(library, leaf, monkeypatch):
+    rng = random.Random(leaf)
+    letters = ["日本語中文字漢中国人", "абвгдеёжзийклмн", "אבגדהוזחטי", "éèüßabc'", "👍🏽🎉", "e\u0301a\u0308\u00a0x", "İIıß'sĐ12"]
+    texts = ["".join(rng.choice(rng.choice(letters)) for _ in range(rng.randint(1, 60))) for _ in range(300)] + ["".join(rng.choice(a) for _ in range(700)) for a in letters] + ["語" * 40 + "<|endoftext|>" + "語" * 40]
+    encoder = bpe.WordEncoder(WORDS, leaf)
+    treed, trees = [], encoder.merger.trees
+    monkeypatch.setattr(encoder.merger, "trees", lambda t, n: treed.extend(t) or trees(t, n))
+    got = bpe.encoded(encoder, *text_buffer(pa.array(texts)))
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    assert max(map(len, treed)) > 1000
+
+
 def test_token_counts_are_the_librarys(docs, doc_rows, none):
     import sentencepiece
 
