@@ -56,13 +56,17 @@ def quality_sql(limit: float = 0.02, risk: float = 0.05) -> str:
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({failed}) AS kept FROM q"""
 
 OP8 = """WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
-  win AS (SELECT doc_id, s, h[2 * s + 1 : 2 * s + 200] AS k FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS s FROM d WHERE length(h) >= 200)),
-  rep AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS n FROM win) WHERE n > 1),
-  b AS (SELECT doc_id, p, h[2 * p + 1 : 2 * p + 2] AS x FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS p FROM d)),
-  g AS (SELECT b.doc_id, b.p, b.x, coalesce(max(rep.s) OVER (PARTITION BY b.doc_id ORDER BY b.p) > b.p - 100, FALSE) AS gone FROM b LEFT JOIN rep ON rep.doc_id = b.doc_id AND rep.s = b.p),
-  l AS (SELECT *, lag(gone) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM g),
-  r AS (SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS removed, count(*) FILTER (gone AND NOT coalesce(before, FALSE)) AS spans, string_agg(x, '' ORDER BY p) FILTER (NOT gone) AS kept FROM l GROUP BY 1)
-SELECT d.doc_id, coalesce(n, 0) AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)"""
+  part AS (SELECT doc_id, c, h[400 * c + 1 : 400 * c + 598] AS p FROM (SELECT doc_id, h, unnest(range(0, (length(h) // 2 + 100) // 200)) AS c FROM d WHERE length(h) >= 200)),
+  win AS (SELECT doc_id, unnest(list_transform(range(0, length(p) // 2 - 99), lambda s: {'s': 200 * c + s, 'k': md5_number(p[2 * s + 1 : 2 * s + 200])})) AS w FROM part),
+  first AS (SELECT w.k AS k, min((doc_id, w.s)) AS f FROM win GROUP BY 1 HAVING count(*) > 1),
+  rep AS (SELECT doc_id, w.s AS s FROM win JOIN first ON w.k = k WHERE (doc_id, w.s) <> f),
+  marked AS (SELECT *, s > coalesce(lag(s) OVER (PARTITION BY doc_id ORDER BY s), -101) + 100 AS new FROM rep),
+  runs AS (SELECT *, sum(CAST(new AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM marked),
+  gone AS (SELECT doc_id, run, min(s) AS a, max(s) + 100 AS b FROM runs GROUP BY 1, 2),
+  kept AS (SELECT doc_id, a, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM gone UNION ALL SELECT doc_id, length(h) // 2, coalesce(b, 0) FROM d LEFT JOIN (SELECT doc_id, max(b) AS b FROM gone GROUP BY 1) USING (doc_id)),
+  texts AS (SELECT doc_id, string_agg(h[2 * before + 1 : 2 * a], '' ORDER BY a, before) AS t FROM kept JOIN d USING (doc_id) GROUP BY 1),
+  sums AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM gone GROUP BY 1)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(t)) AS kept_sha256 FROM d JOIN texts USING (doc_id) LEFT JOIN sums USING (doc_id)"""
 
 # fixed values: the base patterns
 _ASSIGN = r"""(?i)(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""

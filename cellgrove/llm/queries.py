@@ -97,4 +97,5 @@ ORACLE_SQL = {
     "op5_secrets": oracles.OP5,
     "op6_urls": oracles.OP6,
     "op7_substring": oracles.OP7,
+    "op8_suffix": oracles.OP8,
 }

@@ -9,11 +9,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from cellgrove.llm import bpe, encoding, near_dup, oracles, packing, paths, prefix_tokens, quality, secrets, substring, suffix_array
+from cellgrove.llm import bpe, encoding, near_dup, packing, paths, prefix_tokens, quality, secrets, substring, suffix_array
 from cellgrove.llm.components import components
 from cellgrove.llm.shared import Store
 from cellgrove.llm.words import text_buffer
-from tests.conftest import DATA
 from tests.llm import brute
 from tests.llm.conftest import same
 
@@ -134,12 +133,6 @@ def test_later_bytes_go(spark, docs, doc_rows, none, bucket):
     assert suffix_array.removal_report(none).count() == 0
 
 
-def test_later_bytes_match_sql(spark, sql, rows_of):
-    few = spark.read.parquet(f"{DATA}/documents.parquet").where("length(text) < 1500")
-    expected = sql(oracles.OP8.replace("FROM documents", "FROM documents WHERE length(text) < 1500"))
-    assert rows_of(suffix_array.removal_report(few)) == expected
-
-
 def test_suffix_arrays():
     rng = random.Random(3)
     for _ in range(500):
