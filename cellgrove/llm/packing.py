@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
@@ -15,6 +16,11 @@ from cellgrove.llm.shared import Store, text_key
 
 #: Pieces packed together by one task: a bound of memory. What a cell leaves underfull meets that of other cells later.
 CELL = 2048
+#: Turns on end without a change after which the search is over.
+STALE = 2
+#: Further starts of the search in the last cell, while no packing is known to have fewer sequences.
+STARTS = 6
+_FAR = np.iinfo(np.int64).max
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -53,13 +59,13 @@ def local_search(bins: list[list[int]], lengths: list[int], size: int) -> list[l
     """
     bins = [list(b) for b in bins if b]
     fill = np.array([sum(lengths[i] for i in b) for b in bins], dtype=np.int64)
-    sets = {b: _Takes(bins[b], lengths) for b in np.flatnonzero(fill < size).tolist()}
+    pool = _Pool({b: _Takes(bins[b], lengths) for b in np.flatnonzero(fill < size).tolist()}, size - fill)
     changed = True
     while changed:
         changed = False
-        for src in sorted(sets, key=lambda b: (fill[b], b)):
-            while src in sets and len(sets) > 1:
-                step = _step(src, sets, fill, size)
+        for src in sorted(pool.sets, key=lambda b: (fill[b], b)):
+            while src in pool.sets and len(pool.sets) > 1:
+                step = pool.step(src)
                 if step is None:
                     break
                 dst, gain, out, back = step
@@ -68,10 +74,7 @@ def local_search(bins: list[list[int]], lengths: list[int], size: int) -> list[l
                 fill[src] -= gain
                 fill[dst] += gain
                 for b in (src, dst):
-                    if 0 < fill[b] < size:
-                        sets[b] = _Takes(bins[b], lengths)
-                    else:
-                        del sets[b]
+                    pool.put(b, _Takes(bins[b], lengths) if 0 < fill[b] < size else None, size - int(fill[b]))
                 changed = True
     return [b for b in bins if b]
 
@@ -83,44 +86,86 @@ class _Takes:
         by: dict[int, list[int]] = {}
         for i in items:
             by.setdefault(lengths[i], []).append(i)
-        n = np.array(sorted(by), dtype=np.int64)
-        first = np.array([by[k][0] for k in n.tolist()], dtype=np.int64)
-        twice = np.array([k for k in n.tolist() if len(by[k]) > 1], dtype=np.int64)
-        i, j = np.triu_indices(len(n), 1)
-        self.one, self.one_of = n, first
-        self.two = np.r_[n[i] + n[j], 2 * twice]
-        self.two_of = np.stack([np.r_[first[i], [by[k][0] for k in twice.tolist()]], np.r_[first[j], [by[k][1] for k in twice.tolist()]]], axis=1).astype(np.int64)
-
-
-def _step(src: int, sets: dict[int, _Takes], fill: np.ndarray, size: int) -> tuple[int, int, list[int], list[int]] | None:
-    """The step of a bin that leaves another the least room: that bin, the gain, the items that go and those that come back."""
-    own, others = sets[src], [b for b in sets if b != src and fill[b] >= fill[src]]
-    if not others:
-        return None
-    room = size - fill[others]
-    none = np.zeros(len(others), dtype=np.int64)
-    one, two = [sets[b].one for b in others], [sets[b].two for b in others]
-    best = None
-    for give, back_n, take in ((own.one, 0, none), (own.one, 1, np.concatenate(one)), (own.two, 1, np.concatenate(one)), (own.one, 2, np.concatenate(two))):
-        if not len(give) or not len(take):
-            continue
-        of = np.arange(len(others)) if back_n == 0 else np.repeat(np.arange(len(others)), [len(x) for x in (one if back_n == 1 else two)])
-        order = np.argsort(give, kind="stable")
-        at = np.searchsorted(give[order], take + room[of], "right") - 1
-        gain = np.where(at >= 0, give[order][np.maximum(at, 0)] - take, 0)
-        left = np.where(gain > 0, (room[of] - gain) * (size + 1) - gain, np.iinfo(np.int64).max)
-        k = int(np.argmin(left))
-        if gain[k] > 0 and (best is None or left[k] < best[0]):
-            best = (left[k], give is own.two, int(order[at[k]]), back_n, int(of[k]), k - int(np.searchsorted(of, of[k])), int(gain[k]))
-            if best[0] < 0:
-                break
-    if best is None:
-        return None
-    _, pair, i, back_n, d, j, gain = best
-    other = sets[others[d]]
-    out = own.two_of[i].tolist() if pair else [int(own.one_of[i])]
-    back = [] if back_n == 0 else [int(other.one_of[j])] if back_n == 1 else other.two_of[j].tolist()
-    return others[d], gain, out, back
+        n = sorted(by)
+        self.one = np.array(n, dtype=np.int64)
+        self.one_of = [(by[k][0],) for k in n]
+        two = {a + b: (by[a][0], by[b][0]) for x, a in enumerate(n) for b in n[x + 1 :]}
+        two |= {2 * a: (by[a][0], by[a][1]) for a in n if len(by[a]) > 1}
+        self.two_of = [two[k] for k in sorted(two)]
+        self.two = np.array(sorted(two), dtype=np.int64)
+
+
+class _Pool:
+    """What all underfull bins may take back, in flat tables: of nothing, one item and two items.
+
+    A bin that changes leaves dead rows behind and gets new ones at the end; a
+    table is made anew when half of it is dead.
+    """
+
+    def __init__(self, sets: dict[int, _Takes], room: np.ndarray):
+        self.sets, self.room = sets, room.copy()
+        self._build()
+
+    def _build(self) -> None:
+        self.at, self.n, self.dead, size = {}, [0, 0, 0], 0, [len(self.sets), *(sum(len(getattr(x, k)) for x in self.sets.values()) for k in ("one", "two"))]
+        self.take = [np.zeros(2 * n + 64, dtype=np.int64) for n in size]
+        self.left = [np.full(2 * n + 64, -1, dtype=np.int64) for n in size]
+        self.of = [np.zeros(2 * n + 64, dtype=np.int64) for n in size]
+        for b, x in self.sets.items():
+            self._add(b, x)
+
+    def _add(self, b: int, x: _Takes) -> None:
+        self.at[b] = []
+        for k, take in enumerate((np.zeros(1, dtype=np.int64), x.one, x.two)):
+            rows = slice(self.n[k], self.n[k] + len(take))
+            self.take[k][rows], self.left[k][rows], self.of[k][rows] = take, self.room[b], b
+            self.at[b].append(rows)
+            self.n[k] = rows.stop
+
+    def put(self, b: int, x: _Takes | None, room: int) -> None:
+        """A bin after a step; None when it is full or empty."""
+        self._hide(b, -1)
+        self.dead += 1
+        del self.sets[b]
+        self.room[b] = room
+        if x is None:
+            return
+        self.sets[b] = x
+        if self.dead > len(self.sets) or any(self.n[k] + n > len(self.take[k]) for k, n in enumerate((1, len(x.one), len(x.two)))):
+            self._build()
+        else:
+            self._add(b, x)
+
+    def _hide(self, b: int, room: int) -> None:
+        for k, rows in enumerate(self.at[b]):
+            self.left[k][rows] = room
+
+    def step(self, src: int) -> tuple[int, int, list[int], list[int]] | None:
+        """The step from a bin that leaves one at least as full the least room: that bin, the gain, the items that go and those that come back."""
+        own, best = self.sets[src], None
+        self._hide(src, -1)
+        for give, items, k in ((own.one, own.one_of, 0), (own.one, own.one_of, 1), (own.two, own.two_of, 1), (own.one, own.one_of, 2)):
+            n = self.n[k]
+            if not len(give) or not n:
+                continue
+            take, left = self.take[k][:n], self.left[k][:n]
+            at = np.searchsorted(give, take + left, "right") - 1
+            gain = give[at] - take
+            after = left - gain
+            ok = (at >= 0) & (gain > 0) & (left >= 0) & (left <= self.room[src])
+            score = np.where(ok, after * (1 << 31) - gain, _FAR)
+            i = int(np.argmin(score))
+            if ok[i] and (best is None or score[i] < best[0]):
+                best = (score[i], items[at[i]], k, i, int(gain[i]))
+                if after[i] == 0:
+                    break
+        self._hide(src, int(self.room[src]))
+        if best is None:
+            return None
+        _, out, k, i, gain = best
+        dst = int(self.of[k][i])
+        back = () if k == 0 else (self.sets[dst].one_of if k == 1 else self.sets[dst].two_of)[i - self.at[dst][k].start]
+        return dst, gain, list(out), list(back)
 
 
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", *, size: int = 2048) -> DataFrame:
@@ -146,18 +191,31 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return rows.mapInArrow(by_slices(f, most=4 << 20), _PIECES + ", rid long")
 
 
-def _packed(size: int, turn: int):
+def _shuffled(bins: list[list[int]], times: int):
+    """Other places for a search to start from: a sixth of the bins, at random, taken apart."""
+    rng = np.random.default_rng(len(bins))
+    for _ in range(times):
+        apart = set(rng.permutation(len(bins))[: -(-len(bins) // 6)].tolist())
+        yield [b for k, b in enumerate(bins) if k not in apart] + [[i] for k, b in enumerate(bins) if k in apart for i in b]
+
+
+def _packed(size: int, turn: int, more: int):
     """Pack the pieces of one cell; in later turns they come as the bins of the turn before, which stay if nothing better is found."""
 
     def f(table: pa.Table) -> pa.Table:
         order = ["sequence_id", "offset"] if turn else ["rid", "piece"]
         table = table.append_column("n", pa.array(range(table.num_rows))).sort_by([(c, "ascending") for c in [*order, "n"]])
         lengths = table["length"].to_pylist()
-        bins = local_search(best_fit(lengths, size), lengths, size)
+        starts = [best_fit(lengths, size)]
         if turn:
             first = np.flatnonzero(table["offset"].to_numpy() == 0)
-            given = [p.tolist() for p in np.split(np.arange(len(lengths)), first[1:])]
-            bins = min(bins, local_search(given, lengths, size), key=len)
+            starts.append([p.tolist() for p in np.split(np.arange(len(lengths)), first[1:])])
+        bins, least = None, -(-sum(lengths) // size)
+        for start in itertools.chain(starts, _shuffled(starts[-1], more)):
+            found = local_search(start, lengths, size)
+            bins = found if bins is None or len(found) < len(bins) else bins
+            if len(bins) == least:
+                break
         at, offset, fill = (np.zeros(len(lengths), dtype=np.int64) for _ in range(3))
         for b, items in enumerate(bins):
             to = 0
@@ -181,7 +239,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     and then exchanges between underfull sequences (local_search) leave few
     that are not full. Those of all cells meet in new cells, turn by turn,
     until no packing can have fewer sequences, or all underfull ones have met
-    in one cell, or a turn empties none.
+    in one cell, or STALE turns on end fill and empty none.
     Null or empty text: the end id alone. Repeated rows are packed each by
     itself; null ids stay null; other columns are ignored; an empty table gives
     an empty result.
@@ -189,15 +247,16 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     store = Store(docs.sparkSession, name)
     made = store.put(pieces(docs, path, id_col, text_col, size=size))
     n, total = made.agg(F.count("*"), F.sum("length")).first()
-    least, cells, turn, closed, before = -(-(total or 0) // size), max(1, round(n / cell)), 0, [], None
+    least, cells, turn, closed, before, stale = -(-(total or 0) // size), max(1, round(n / cell)), 0, [], None, 0
     rows = made.withColumn("cell", F.pmod(F.xxhash64("rid", "piece", "ids_crc32"), F.lit(cells)))
     while True:
-        out = store.put(rows.groupBy("cell").applyInArrow(_packed(size, turn), _PIECES + ", rid long, sequence_id long, offset long, fill long"))
+        out = store.put(rows.groupBy("cell").applyInArrow(_packed(size, turn, STARTS if cells == 1 else 0), _PIECES + ", rid long, sequence_id long, offset long, fill long"))
         full = F.col("fill") == size
         begins = F.col("offset") == 0
         shut, left, n = out.agg(F.count(F.when(begins & full, 1)), F.count(F.when(begins & ~full, 1)), F.count(F.when(~full, 1))).first()
         least -= shut
-        if left <= max(least, 1) or cells == 1 or left == before:
+        stale = stale + 1 if left == before else 0
+        if left <= max(least, 1) or cells == 1 or stale == STALE:
             break
         closed.append(out.where(full))
         turn, before, cells = turn + 1, left, max(1, round(n / cell))

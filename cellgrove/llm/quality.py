@@ -113,6 +113,23 @@ def cutoffs(scored: DataFrame, *, limit: float, risk: float) -> DataFrame:
     return best.select("stratum", "rule", "b.n", "b.cutoff", "b.false_rejections", "b.p_value")
 
 
+def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, stratum_col: str, limit: float, risk: float, name: str, row: list[Column]) -> DataFrame:
+    """Counts and verdict of every row, with the columns `row`."""
+    store = Store(docs.sparkSession, name)
+    rows = docs.select(*row, F.col(id_col).cast("long").alias("doc_id"), text_key(id_col, text_col).alias("rid"), F.xxhash64(text_col).alias("text_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), counts(F.col(text_col)).alias("q"))
+    kept = [c for c in rows.columns if c not in ("q", "text_id")]
+    base = rows.select(*kept, "text_id", *[F.col(f"q.{c}").alias(c) for c in _COUNTS])
+    base = base.withColumn("base_failed", F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words"))
+    base = store.put(base.withColumns({r: F.expr(e) for r, e in RULES.items()}))
+    marks = labels.where("quality is not null").groupBy("doc_id").agg(F.max(F.col("quality") == 1).alias("good"))
+    found = store.put(cutoffs(base.select("doc_id", "text_id", "stratum", *RULES).join(marks, "doc_id"), limit=limit, risk=risk), small=True)
+    by_stratum = found.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cut"))
+    out = base.join(by_stratum, "stratum", "left")
+    failed = F.array_compact(F.array(*[F.when(F.col(r) > F.element_at("cut", F.lit(r)), F.lit(r)) for r in RULES]))
+    failed = F.coalesce(failed, F.array().cast("array<string>"))
+    return out.select(*kept, *_COUNTS, "base_failed", failed.alias("failed_rules")).withColumn("kept", F.expr("NOT base_failed AND size(failed_rules) = 0"))
+
+
 def rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", *, limit: float = 0.02, risk: float = 0.05, name: str = "quality") -> DataFrame:
     """Counts and verdict of every row: doc_id, rid, the counts, base_failed, failed_rules and kept.
 
@@ -123,15 +140,12 @@ def rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows get the same verdict, null ids and strata take part, ties with a cutoff
     stay, other columns are ignored, an empty table gives an empty result.
     """
-    store = Store(docs.sparkSession, name)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(id_col, text_col).alias("rid"), F.xxhash64(text_col).alias("text_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), counts(F.col(text_col)).alias("q"))
-    base = rows.select("doc_id", "rid", "text_id", "stratum", *[F.col(f"q.{c}").alias(c) for c in _COUNTS])
-    base = base.withColumn("base_failed", F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words"))
-    base = store.put(base.withColumns({r: F.expr(e) for r, e in RULES.items()}))
-    marks = labels.where("quality is not null").groupBy("doc_id").agg(F.max(F.col("quality") == 1).alias("good"))
-    found = store.put(cutoffs(base.join(marks, "doc_id"), limit=limit, risk=risk))
-    by_stratum = found.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cut"))
-    out = base.join(by_stratum, "stratum", "left")
-    failed = F.array_compact(F.array(*[F.when(F.col(r) > F.element_at("cut", F.lit(r)), F.lit(r)) for r in RULES]))
-    failed = F.coalesce(failed, F.array().cast("array<string>"))
-    return out.select("doc_id", "rid", *_COUNTS, "base_failed", failed.alias("failed_rules")).withColumn("kept", F.expr("NOT base_failed AND size(failed_rules) = 0"))
+    return _judged(docs, labels, id_col, text_col, stratum_col, limit, risk, name, []).drop("stratum")
+
+
+def passing(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", *, limit: float = 0.02, risk: float = 0.05, name: str = "quality") -> DataFrame:
+    """The rows that `rules` keeps, with all their columns. They travel with their counts, so texts are not shuffled."""
+    # fields by number: names of other columns may clash in any way
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row")
+    out = _judged(docs, labels, id_col, text_col, stratum_col, limit, risk, name, [row]).where("kept")
+    return out.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

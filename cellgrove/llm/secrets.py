@@ -44,8 +44,8 @@ def _scan(batches):
     for b in batches:
         for at in range(0, b.num_rows, 256):
             part = b.slice(at, 256)
-            found = [[dict(zip(names, s)) for s in spans(t or "")] for t in part.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(found, kind)], ["doc_id", "rid", "repo", "owner", "found"])
+            found = [[dict(zip(names, s)) for s in spans(t or "")] for t in part.column(5).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(found, kind)], ["row", "doc_id", "rid", "repo", "owner", "found"])
 
 
 def _joined(found: Column) -> Column:
@@ -73,13 +73,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
     found. Repeated rows get the same spans; other columns are ignored; an
     empty table gives an empty result.
     """
+    return _scanned(docs, id_col, text_col, repo_col, owner_col, most_owners, most_repos, name, [])
+
+
+def _scanned(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col: str | None, most_owners: int, most_repos: int, name: str, row: list[Column]) -> DataFrame:
+    """doc_id, rid and found of every row, with the columns `row`. Only rows with candidates that the corpus judges are joined."""
     store = Store(docs.sparkSession, name)
     repo = _part(docs, repo_col)
     repo = F.lit("") if repo is None else repo
     owner = _part(docs, owner_col)
     owner = F.substring_index(repo, "/", 1) if owner is None else owner
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(id_col, text_col).alias("rid"), repo.alias("repo"), owner.alias("owner"), F.col(text_col).alias("text"))
-    seen = rows.mapInArrow(_scan, f"doc_id long, rid long, repo string, owner string, found {_SPAN}")
+    rows = docs.select(F.struct(F.lit(0).alias("more"), *row).alias("row"), F.col(id_col).cast("long").alias("doc_id"), text_key(id_col, text_col).alias("rid"), repo.alias("repo"), owner.alias("owner"), F.col(text_col).alias("text"))
+    seen = rows.mapInArrow(_scan, f"row {rows.schema['row'].dataType.simpleString()}, doc_id long, rid long, repo string, owner string, found {_SPAN}")
     hashed = F.transform("found", lambda x: F.struct(x["start"], x["kind"], x["stop"], F.xxhash64(x["secret"]).alias("h")))
     seen = store.put(seen.withColumn("found", hashed))
     each = seen.where("size(found) > 0").select("rid", "repo", "owner", F.explode("found").alias("x"))
@@ -89,9 +94,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
     live = store.put(held.where((F.col("owners") <= most_owners) & (F.col("repos") <= most_repos)).select("h"), small=True)
     alive = store.put(each.select("rid", "x", F.col("x.h").alias("h")).join(live, "h").select("rid", "x").distinct(), small=True)
     alive = alive.groupBy("rid").agg(F.collect_set(F.col("x")).alias("alive"))
-    out = seen.join(alive, "rid", "left").select("doc_id", "rid", "found", F.coalesce("alive", F.array().cast("array<struct<start:int,kind:int,stop:int,h:bigint>>")).alias("alive"))
+    kind = "array<struct<start:int,kind:int,stop:int,h:bigint>>"
+    met = seen.where("size(found) > 0").join(alive, "rid", "left").select("row", "doc_id", "rid", "found", F.coalesce("alive", F.array().cast(kind)).alias("alive"))
+    out = met.union(seen.where("size(found) = 0").select("row", "doc_id", "rid", "found", F.array().cast(kind)))
     marked = F.transform("found", lambda x: F.struct(x["start"], x["kind"], x["stop"], F.array_contains("alive", x).alias("live")))
-    return out.select("doc_id", "rid", F.filter(marked, lambda x: (x["kind"] < 3) | x["live"]).alias("found"))
+    return out.select(*[F.col(f"row.{c}") for c in out.schema["row"].dataType.names[1:]], "doc_id", "rid", F.filter(marked, lambda x: (x["kind"] < 3) | x["live"]).alias("found"))
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -119,12 +126,11 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     repeated rows change alike; names of other columns may clash with any used
     here; an empty table gives an empty result. Work is linear in the text.
     """
-    found = scan(docs, id_col, text_col, **how)
-    found = found.where("size(found) > 0").groupBy("rid").agg(F.first(F.transform("found", lambda x: F.struct(x["start"], x["stop"]))).alias("at"))
     # fields by number: names of other columns may clash in any way
-    kept = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col]
-    rows = docs.select(text_key(id_col, text_col).alias("rid"), F.struct(*kept, F.lit(0).alias("more")).alias("row"), F.col(text_col).alias("text"))
-    both = rows.join(found, "rid", "left").select("row", "text", "at")
+    row = F.struct(F.lit(0).alias("more"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col])
+    how = {"repo_col": "source", "owner_col": None, "most_owners": 1, "most_repos": 5, "name": "secrets"} | how
+    found = _scanned(docs, id_col, text_col, row=[F.struct(row.alias("row"), F.col(f"`{text_col}`").alias("text")).alias("whole")], **how)
+    both = found.select("whole.row", "whole.text", F.transform("found", lambda x: F.struct(x["start"], x["stop"])).alias("at"))
 
     def f(batches):
         for b in batches:

@@ -93,7 +93,7 @@ def removal_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     store = Store(docs.sparkSession, name)
     texts = docs.select(text_key(id_col, text_col).alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     at = _removed(texts, store, width, k)
-    return texts.join(at, "rid", "left").select("rid", "doc_id", "text", "at").mapInArrow(_report(width), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return texts.join(at.hint("merge"), "rid", "left").select("rid", "doc_id", "text", "at").mapInArrow(_report(width), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = WIDTH, k: int = ANCHOR, name: str = "substring") -> DataFrame:
@@ -122,6 +122,6 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             texts = pa.compute.if_else(rows.column(1).is_null(), pa.scalar(None, pa.string()), texts)
         return pa.RecordBatch.from_arrays([rows.column(0), texts], ["row", "text"])
 
-    joined = row.join(at, "rid", "left").select("row", "text", "at")
+    joined = row.join(at.hint("merge"), "rid", "left").select("row", "text", "at")
     done = joined.mapInArrow(by_slices(f), f"row {joined.schema['row'].dataType.simpleString()}, text string")
     return done.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -23,10 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     texts have no words and go; repeated rows share a verdict; without labels
     only the base rules hold.
     """
-    found = quality.rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), name="pipeline-1")
-    rid = fresh(docs, "rid")
-    kept = found.where("kept").select(F.col("rid").alias(rid))
-    return docs.withColumn(rid, text_key("doc_id", "text")).join(kept, rid, "left_semi").select(*docs.columns)
+    return quality.passing(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), name="pipeline-1")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
