@@ -65,15 +65,40 @@ def first_below(starts: DataFrame, targets: DataFrame, name: str = "hit") -> Dat
 
 
 def pillars(normals: DataFrame) -> DataFrame:
-    """Normals after vertical pillars turned horizontal: a cell of a run of two or more cells of the same vertical
-    normal, unless its four neighbours in the slice all have that normal (it is part of a plane)."""
-    from cellgrove.operators.neighbours import CELL, with_neighbours
-
-    vertical = normals.where(F.col("normal").isin(1, 2))
-    stacked = in_runs(vertical, F.col("height") > 1, "normal")
-    near = with_neighbours(stacked, normals, 4).where("normal = n_normal").groupBy(*CELL).agg(F.count("*").alias("_n"))
-    turned = stacked.join(near.where("_n = 4").select(*CELL), CELL, "left_anti").select(*CELL, F.lit(3).alias("_to"))
-    return normals.join(turned, CELL, "left").select(*CELL, F.coalesce("_to", "normal").alias("normal"))
+    """Normals after vertical pillars turned horizontal, but for cells of a plane (see plane_cells).
+
+    A pillar is a vertical run of one vertical normal: of two cells or more
+    that face up, whose top cell stays, of three or more that face down, or of
+    two or more that face both ways. The last face up at the top and down at
+    the bottom; the plane cells between that follow each other are halved
+    alike, an odd one in the middle stays. What so faces down counts in the
+    runs that do.
+    """
+    from cellgrove.operators.neighbours import CELL
+    from cellgrove.operators.normals import plane_cells
+
+    flat = plane_cells(normals).withColumn("flat", F.lit(True))
+    at = normals.select(*CELL, "normal").join(flat, CELL, "left").withColumn("flat", F.coalesce("flat", F.lit(False)))
+
+    def in_run(df: DataFrame, normal: str, name: str, *keys: str) -> DataFrame:
+        """Places `name`_p from 0 on in runs of equal `normal` (and keys), and their cells `name`_n."""
+        g = F.col("i") - F.row_number().over(Window.partitionBy(*COLUMN, normal, *keys).orderBy("i"))
+        df = df.withColumn("_g", g)
+        w = Window.partitionBy(*COLUMN, normal, *keys, "_g")
+        return df.withColumns({f"{name}_p": F.row_number().over(w.orderBy("i")) - 1, f"{name}_n": F.count("*").over(w)}).drop("_g")
+
+    out = in_run(at, "normal", "run")
+    out = out.withColumn("flat_in", F.col("flat") & (F.col("run_p") > 0) & (F.col("run_p") < F.col("run_n") - 1))
+    out = in_run(out, "normal", "plane", "flat_in")
+    half = F.floor(F.col("plane_n") / 2)
+    both = (
+        F.when(F.col("run_n") < 2, 4).when(F.col("run_p") == 0, 2).when(F.col("run_p") == F.col("run_n") - 1, 1).when(~F.col("flat"), 3)
+        .when(F.col("plane_p") < half, 2).when(F.col("plane_p") >= F.col("plane_n") - half, 1).otherwise(4)
+    )
+    up = F.when((F.col("run_n") > 1) & (F.col("run_p") > 0) & ~F.col("flat"), 3).otherwise(2)
+    out = out.select(*CELL, "flat", F.when(F.col("normal") == 4, both).when(F.col("normal") == 2, up).otherwise(F.col("normal")).alias("normal"))
+    out = in_run(out, "normal", "run")
+    return out.select(*CELL, F.when((F.col("normal") == 1) & (F.col("run_n") > 2) & ~F.col("flat"), 3).otherwise(F.col("normal")).cast("int").alias("normal"))
 
 
 def majority_per_run(cells: DataFrame, label: str) -> DataFrame:

@@ -28,11 +28,16 @@ def mutual_mapping(mapping: DataFrame) -> DataFrame:
     return there.join(back.select("from_id", "to_id"), ["from_id", "to_id"])
 
 
-def mapping_error(grid: DataFrame, mutual: DataFrame, key: str = "from_id") -> DataFrame:
-    """One row: the share of the grid's (cell, room) rows in rooms without a mutual partner."""
-    rooms = grid.select(*CELL, "room_id").distinct()
-    volumes = rooms.groupBy("room_id").agg(F.count("*").alias("n")).join(mutual.select(F.col(key).alias("room_id")).distinct().withColumn("ok", F.lit(1)), "room_id", "left")
-    return volumes.agg(F.sum("n").alias("total"), F.sum(F.when(F.col("ok").isNull(), F.col("n")).otherwise(0)).alias("errors")).withColumn("error", F.col("errors") / F.col("total"))
+def mapping_error(test: DataFrame, truth: DataFrame, mutual: DataFrame) -> DataFrame:
+    """One row: cells of both grids, cells in rooms without a mutual partner (once for each such room), and the larger share in percent."""
+
+    def side(grid: DataFrame, key: str, name: str) -> DataFrame:
+        rooms = grid.select(*CELL, "room_id").distinct()
+        lone = rooms.join(mutual.select(F.col(key).alias("room_id")).distinct(), "room_id", "left_anti")
+        return rooms.select(*CELL).distinct().agg(F.count("*").alias(f"{name}_cells")).crossJoin(lone.agg(F.count("*").alias(f"{name}_errors")))
+
+    both = side(test, "from_id", "test").crossJoin(side(truth, "to_id", "truth"))
+    return both.withColumn("error", F.greatest(*[F.try_divide(F.col(f"{n}_errors") * 100.0, F.col(f"{n}_cells")) for n in ("test", "truth")]))
 
 
 def room_scores(test: DataFrame, truth: DataFrame, mutual: DataFrame) -> DataFrame:

@@ -52,9 +52,9 @@ def main_above(graph: DataFrame) -> DataFrame:
 
 
 def plane_cells(normals: DataFrame) -> DataFrame:
-    """Cells whose four neighbours in the slice all have their normal."""
-    near = with_neighbours(normals, normals, 4).where("normal = n_normal").groupBy(*CELL).agg(F.count("*").alias("_n"))
-    return near.where("_n = 4").select(*CELL)
+    """Cells whose four neighbours in the slice all have a normal."""
+    at = normals.select(*CELL)
+    return neighbour_count(at, at, 4).where("n = 4").select(*CELL)
 
 
 def without_isolated(normals: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellgrove.operators.neighbours import CELL, offsets
+from cellgrove.plans.params import CEILING, EMPTY_INTERIOR, FLOOR, INTERIOR_OBJECT
 
 
 def marched(cells: DataFrame, directions: list[tuple[int, int, int]], straight: int, diagonal: int | None = None) -> DataFrame:
@@ -29,15 +30,20 @@ def first_hits(cells: DataFrame, targets: DataFrame, directions: list[tuple[int,
     return hits.groupBy(*cells.columns, "di", "dr", "dc").agg(best).select(*cells.columns, "di", "dr", "dc", "_b.*")
 
 
-def gaps(cells: DataFrame, walls: DataFrame, straight: int, diagonal: int) -> DataFrame:
-    """Cells between two cells of the set within a slice, in 8 directions, where nothing else stands before the second.
+def gaps(grid: DataFrame, normals: DataFrame, straight: int, diagonal: int) -> DataFrame:
+    """Cells (i, r, c, cls) that close gaps of a merged grid (i, r, c, cls) within its slices.
 
-    Only empty cells are returned: neither in the set nor in `walls`.
+    From interior, empty or object, a march in 8 directions over empty cells
+    ends at the first cell that isn't. If that is interior, floor or ceiling
+    and not the next one, the cells between are empty interior, or an object
+    where they have a normal. All marches see the grid as it is given.
     """
-    solid = cells.select(*CELL).distinct().withColumn("open", F.lit(True)).union(walls.select(*CELL).distinct().join(cells, CELL, "left_anti").withColumn("open", F.lit(False)))
-    hit = first_hits(cells.select(*CELL).distinct(), solid, offsets(8), straight, diagonal).where("n_open AND d > 1")
+    states = grid.groupBy(*CELL).agg(F.max(F.col("cls").isin(EMPTY_INTERIOR, INTERIOR_OBJECT)).alias("inside"), F.max(F.col("cls").isin(EMPTY_INTERIOR, INTERIOR_OBJECT, FLOOR, CEILING)).alias("open"))
+    hit = first_hits(states.where("inside").select(*CELL), states.select(*CELL, "open"), offsets(8), straight, diagonal).where("n_open AND d > 1")
     between = hit.withColumn("s", F.explode(F.expr("sequence(1, d - 1)")))
-    return between.select(F.expr("i + s * di").alias("i"), F.expr("r + s * dr").alias("r"), F.expr("c + s * dc").alias("c")).distinct()
+    between = between.select(F.expr("i + s * di").alias("i"), F.expr("r + s * dr").alias("r"), F.expr("c + s * dc").alias("c")).distinct()
+    full = normals.where("normal <> 0").select(*CELL).distinct().withColumn("_full", F.lit(True))
+    return between.join(full, CELL, "left").select(*CELL, F.when(F.col("_full"), INTERIOR_OBJECT).otherwise(EMPTY_INTERIOR).alias("cls"))
 
 
 def slope(floors: DataFrame, radius: int, radius_diagonal: int, most: int, walls: DataFrame | None = None) -> DataFrame:

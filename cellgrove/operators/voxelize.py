@@ -104,9 +104,10 @@ def direction(params: Params = Params()) -> Column:
 
 
 def normal_class(down: Column, up: Column, horizontal: Column) -> Column:
-    """The normal of a cell from counts: horizontal if it is at least both others; both if down and up are near; else the larger."""
-    near = (F.least(down, up) / F.greatest(down, up)) >= 0.3
-    return F.when((horizontal >= down) & (horizontal >= up), 3).when(near, 4).when(down >= up, 1).otherwise(2)
+    """The normal of a cell from counts: horizontal if it is at least both others; both if down and up each have 0.3 of
+    all three counts; else the larger of down and up, down if they are equal."""
+    least = 0.3 * (down + up + horizontal)
+    return F.when((horizontal >= down) & (horizontal >= up), 3).when((down >= least) & (up >= least), 4).when(down >= up, 1).otherwise(2)
 
 
 def mesh_normals(triangles: DataFrame, grid: DataFrame, resolution: float, params: Params = Params()) -> DataFrame:

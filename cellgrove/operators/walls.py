@@ -41,11 +41,23 @@ def inherited_ids(grid: DataFrame, rounds: int | None = None) -> DataFrame:
 
 
 def ceilings_of_stack(grid: DataFrame) -> DataFrame:
-    """Ceilings of room 0 that take the room of the nearest ceiling below them in the same stack: i, r, c, room_id."""
-    c = grid.where(F.col("cls") == CEILING).groupBy(*CELL).agg(F.min(F.when(F.col("room_id") != 0, F.col("room_id"))).alias("room_id"))
-    stack = c.withColumn("_g", F.col("i") - F.row_number().over(Window.partitionBy(*COLUMN).orderBy("i")))
-    below = Window.partitionBy(*COLUMN, "_g").orderBy("i").rowsBetween(1, Window.unboundedFollowing)
-    return stack.withColumn("_b", F.first("room_id", ignorenulls=True).over(below)).where("room_id IS NULL AND _b IS NOT NULL").select(*CELL, F.col("_b").alias("room_id"))
+    """The grid (i, r, c, room_id, cls) after room 0 went, column by column from below.
+
+    A cell of room 0 right above a cell that stays becomes ceiling of that
+    cell's first room, and nothing else; so do those of room 0 above it. Other
+    cells only lose room 0, and stay if they hold another room.
+    """
+    cells = grid.groupBy(*CELL).agg(F.max(F.col("room_id") == 0).alias("zero"), F.min(F.when(F.col("room_id") != 0, F.col("room_id"))).alias("first"))
+    cells = cells.withColumn("_g", F.col("i") - F.row_number().over(Window.partitionBy(*COLUMN).orderBy("i")))
+    below = Window.partitionBy(*COLUMN, "_g").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, -1)
+    stays = cells.withColumn("_start", F.max(F.col("first").isNotNull()).over(below))
+    # rooms are handed up by cells without room 0, and by the lowest that stays
+    stays = stays.withColumn("_own", F.when(~F.col("zero") | ~F.coalesce("_start", F.lit(False)), F.col("first")))
+    stays = stays.withColumn("_from", F.when(F.col("zero"), F.last("_own", ignorenulls=True).over(below)))
+    marked = stays.select(*CELL, "_from")
+    new = marked.where("_from IS NOT NULL").select(*CELL, F.col("_from").alias("room_id"), F.lit(CEILING).alias("cls"))
+    old = grid.where("room_id <> 0").join(marked.where("_from IS NULL").select(*CELL), CELL).select(*CELL, "room_id", "cls")
+    return old.union(new)
 
 
 def false_walls(grid: DataFrame) -> DataFrame:

@@ -88,7 +88,7 @@ def _triangle_grid(t: DataFrame) -> DataFrame:
     return voxelize.grid_of(voxelize.bounds(flat), _TRI)
 
 
-@query(_mesh_sql() + " SELECT i, r, c, CASE WHEN side >= dn AND side >= up THEN 3 WHEN CAST(least(dn, up) AS DOUBLE) / greatest(dn, up) >= 0.3 THEN 4 WHEN dn >= up THEN 1 ELSE 2 END AS normal FROM n")
+@query(_mesh_sql() + " SELECT i, r, c, CASE WHEN side >= dn AND side >= up THEN 3 WHEN 10 * dn >= 3 * (dn + up + side) AND 10 * up >= 3 * (dn + up + side) THEN 4 WHEN dn >= up THEN 1 ELSE 2 END AS normal FROM n")
 def mesh_normal_grid(spark, sf):
     t = d.triangles(spark, sf)
     return voxelize.mesh_normals(t, _triangle_grid(t), _TRI)
@@ -213,10 +213,14 @@ def mutual_room_mapping(spark, sf):
     return _mutual(spark, sf)[2]
 
 
-@query(f"WITH {_MUTUAL}, v AS (SELECT room_id, count(*) AS n FROM (SELECT DISTINCT i, r, c, room_id FROM {_G1}) GROUP BY room_id) SELECT CAST(sum(n) AS BIGINT) AS total, CAST(sum(CASE WHEN room_id IN (SELECT from_id FROM mutual) THEN 0 ELSE n END) AS BIGINT) AS errors, round(sum(CASE WHEN room_id IN (SELECT from_id FROM mutual) THEN 0 ELSE n END) / sum(n), 6) AS error FROM v")
+def _lone_sql(grid: str, key: str) -> str:
+    return f"(SELECT count(*) FROM (SELECT DISTINCT i, r, c, room_id FROM {grid}) x WHERE NOT EXISTS (SELECT 1 FROM mutual m WHERE m.{key} = x.room_id))"
+
+
+@query(f"""WITH {_MUTUAL}, x AS (SELECT (SELECT count(DISTINCT (i, r, c)) FROM {_G1}) AS test_cells, {_lone_sql(_G1, 'from_id')} AS test_errors, (SELECT count(DISTINCT (i, r, c)) FROM {_G2}) AS truth_cells, {_lone_sql(_G2, 'to_id')} AS truth_errors)
+  SELECT *, round(greatest(test_errors * 100.0 / test_cells, truth_errors * 100.0 / truth_cells), 6) AS error FROM x""")
 def room_mapping_error(spark, sf):
-    a, _, m = _mutual(spark, sf)
-    return _rounded(evaluation.mapping_error(a, m), "error")
+    return _rounded(evaluation.mapping_error(*_mutual(spark, sf)), "error")
 
 
 @query(f"""WITH {_MUTUAL}, a AS (SELECT DISTINCT g.i, g.r, g.c, g.room_id AS from_id, m.to_id FROM {_G1} g JOIN mutual m ON g.room_id = m.from_id),
@@ -330,9 +334,28 @@ def surfaces_above(spark, sf):
     return columns.surface_above(d.cells(spark, sf))
 
 
-@query(f"""WITH n AS (SELECT * FROM {d.sql_normals()}), g AS (SELECT *, i - row_number() OVER (PARTITION BY r, c, normal ORDER BY i) AS g FROM n WHERE normal IN (1, 2)), h AS (SELECT *, count(*) OVER (PARTITION BY r, c, normal, g) AS height FROM g),
-  p AS (SELECT h.i, h.r, h.c FROM h WHERE height > 1 AND (SELECT count(*) FROM n o, {d.sql_offsets(neighbours.offsets(4))} WHERE o.i = h.i AND o.r = h.r + dr AND o.c = h.c + dc AND o.normal = h.normal) < 4)
-  SELECT n.i, n.r, n.c, CASE WHEN p.i IS NULL THEN n.normal ELSE 3 END AS normal FROM n LEFT JOIN p ON n.i = p.i AND n.r = p.r AND n.c = p.c""")
+def _pillar_sql() -> str:
+    """The scan itself: each step handles one height of all columns, with the column as a string of normals ('.' is empty)."""
+    runs = {k: f"length(regexp_extract(substr(s, i + 1), '^{k}+'))" for k in "124"}
+    flat = "list_contains(flat, {0})"
+    # step i sees the string s; runs start at i; cells from 1-based position i + 1
+    turned = "list_transform(range(0, {n}), lambda k: CASE WHEN list_contains(flat, i + k) THEN substr(s, i + k + 1, 1) ELSE '3' END)"
+    head = "substr(s, 1, i)"
+    tail = "substr(s, i + {n} + 1)"
+    up = f"{head} || substr(s, i + 1, 1) || array_to_string(list_slice({turned.format(n='n2')}, 2, n2), '') || {tail.format(n='n2')}"
+    down = f"{head} || array_to_string({turned.format(n='n1')}, '') || {tail.format(n='n1')}"
+    both = f"{head} || '2' || array_to_string(list_slice({turned.format(n='n4')}, 2, n4 - 1), '') || '1' || {tail.format(n='n4')}"
+    return f"""WITH RECURSIVE n AS (SELECT * FROM {d.sql_normals()}),
+      f AS (SELECT n.i, n.r, n.c FROM n, {d.sql_offsets(neighbours.offsets(4))}, n o WHERE o.i = n.i AND o.r = n.r + dr AND o.c = n.c + dc GROUP BY 1, 2, 3 HAVING count(*) = 4),
+      col AS (SELECT r, c, array_to_string(list_transform(range(0, {d.LAYERS}), lambda k: coalesce(map_extract(map_from_entries(list((i, CAST(normal AS VARCHAR)))), CAST(k AS INTEGER))[1], '.')), '') AS s FROM n GROUP BY r, c),
+      fl AS (SELECT r, c, list(i) AS flat FROM f GROUP BY r, c),
+      scan(i, r, c, s, flat) AS (SELECT 0, col.r, col.c, s, coalesce(flat, []) FROM col LEFT JOIN fl ON fl.r = col.r AND fl.c = col.c
+        UNION ALL SELECT i + 1, r, c, CASE WHEN n1 > 2 THEN {down} WHEN n2 > 1 THEN {up} WHEN n4 > 1 THEN {both} ELSE s END, flat
+        FROM (SELECT *, {runs['1']} AS n1, {runs['2']} AS n2, {runs['4']} AS n4 FROM scan WHERE i < {d.LAYERS}))
+      SELECT n.i, n.r, n.c, CAST(substr(s, n.i + 1, 1) AS INTEGER) AS normal FROM n JOIN scan ON scan.r = n.r AND scan.c = n.c WHERE scan.i = {d.LAYERS}"""
+
+
+@query(_pillar_sql())
 def pillars_turned(spark, sf):
     return columns.pillars(d.normals(spark, sf))
 
@@ -426,21 +449,24 @@ def first_hits(spark, sf):
     return out.select(*CELL, "dr", "dc", "d", "n_normal")
 
 
-@query(f"""WITH n AS (SELECT * FROM {d.sql_normals()}), a AS (SELECT i, r, c FROM n WHERE normal <= 2), m AS {_MARCH.format(a='a')},
-  h AS (SELECT m.i, m.r, m.c, m.dr, m.dc, min(m.d) AS d, arg_min(n.normal <= 2, m.d) AS open FROM m JOIN n ON n.i = m.i AND n.r = m.r + m.d * m.dr AND n.c = m.c + m.d * m.dc GROUP BY 1, 2, 3, 4, 5)
-  SELECT DISTINCT CAST(h.i AS INTEGER) AS i, CAST(h.r + s * h.dr AS INTEGER) AS r, CAST(h.c + s * h.dc AS INTEGER) AS c FROM h, (SELECT unnest(range(1, 3)) AS s) WHERE open AND s < h.d""")
+@query(f"""WITH g AS (SELECT i, r, c, max(CASE WHEN cls IN (1, 2) THEN 1 ELSE 0 END) AS inside, max(CASE WHEN cls IN (0, 1, 2, 3) THEN 1 ELSE 0 END) AS open FROM {_G1} GROUP BY 1, 2, 3), a AS (SELECT i, r, c FROM g WHERE inside = 1), m AS {_MARCH.format(a='a')},
+  h AS (SELECT m.i, m.r, m.c, m.dr, m.dc, min(m.d) AS d, arg_min(g.open, m.d) AS open FROM m JOIN g ON g.i = m.i AND g.r = m.r + m.d * m.dr AND g.c = m.c + m.d * m.dc GROUP BY 1, 2, 3, 4, 5),
+  k AS (SELECT DISTINCT CAST(h.i AS INTEGER) AS i, CAST(h.r + s * h.dr AS INTEGER) AS r, CAST(h.c + s * h.dc AS INTEGER) AS c FROM h, (SELECT unnest(range(1, 3)) AS s) WHERE open = 1 AND s < h.d)
+  SELECT k.i, k.r, k.c, CASE WHEN EXISTS (SELECT 1 FROM {d.sql_normals()} n WHERE n.i = k.i AND n.r = k.r AND n.c = k.c) THEN 2 ELSE 1 END AS cls FROM k""")
 def gap_cells(spark, sf):
-    n = d.normals(spark, sf)
-    return rays.gaps(n.where("normal <= 2"), n.where("normal > 2"), 3, 2)
+    return rays.gaps(d.grid(spark, sf), d.normals(spark, sf), 3, 2)
 
 
 _ENDS = ", ".join(f"({b * (1 if b and c else 2)}, {c * (1 if b and c else 2)})" for b, c in _DIRS8)
 
 
-@query(f"""WITH f AS (SELECT i, r, c FROM {d.sql_normals()} WHERE normal IN (2, 4)), o AS (SELECT f.i, f.r, f.c, dr, dc, min(abs(g.i - f.i)) AS off FROM f, (VALUES {_ENDS}) o(dr, dc), f g WHERE g.r = f.r + dr AND g.c = f.c + dc AND abs(g.i - f.i) <= 4 GROUP BY 1, 2, 3, 4, 5)
+@query(f"""WITH f AS (SELECT i, r, c FROM {d.sql_normals()} WHERE normal IN (2, 4)), w AS (SELECT i, r, c FROM {d.sql_normals()} WHERE normal = 3),
+  o AS (SELECT f.i, f.r, f.c, dr, dc, min(abs(g.i - f.i)) AS off FROM f, (VALUES {_ENDS}) o(dr, dc), f g WHERE g.r = f.r + dr AND g.c = f.c + dc AND abs(g.i - f.i) <= 4
+    AND NOT EXISTS (SELECT 1 FROM w WHERE w.i = f.i AND w.r = f.r + dr AND w.c = f.c + dc) AND (abs(dr) + abs(dc) = 2 AND abs(dr) = 1 OR NOT EXISTS (SELECT 1 FROM w WHERE w.i = f.i AND 2 * (w.r - f.r) = dr AND 2 * (w.c - f.c) = dc)) GROUP BY 1, 2, 3, 4, 5)
   SELECT f.i, f.r, f.c, coalesce(max(o.off), -1) AS slope FROM f LEFT JOIN o ON f.i = o.i AND f.r = o.r AND f.c = o.c GROUP BY 1, 2, 3""")
 def slopes(spark, sf):
-    return rays.slope(d.normals(spark, sf).where("normal IN (2, 4)"), 2, 1, 4)
+    n = d.normals(spark, sf)
+    return rays.slope(n.where("normal IN (2, 4)"), 2, 1, 4, n.where("normal = 3"))
 
 
 # ---- reconstruction
@@ -682,10 +708,9 @@ def main_segments(spark, sf):
     return normals.main_above(normals.vertical_graph(s)).select("lower", "upper", "coverage")
 
 
-@query(f"WITH n AS (SELECT i // 5 AS i, r, c, min(CASE WHEN normal < 4 THEN 1 ELSE 2 END) AS normal FROM {_N} GROUP BY 1, 2, 3) SELECT n.i, n.r, n.c FROM n WHERE (SELECT count(*) FROM n o, {_O4} WHERE o.i = n.i AND o.r = n.r + dr AND o.c = n.c + dc AND o.normal = n.normal) = 4")
+@query(f"SELECT n.i, n.r, n.c FROM {_N} n, {_O4}, {_N} o WHERE o.i = n.i AND o.r = n.r + dr AND o.c = n.c + dc GROUP BY 1, 2, 3 HAVING count(*) = 4")
 def plane_cells(spark, sf):
-    flat = d.normals(spark, sf).groupBy(F.floor(F.col("i") / 5).cast("int").alias("i"), "r", "c").agg(F.min(F.when(F.col("normal") < 4, 1).otherwise(2)).alias("normal"))
-    return normals.plane_cells(flat)
+    return normals.plane_cells(d.normals(spark, sf))
 
 
 @query(f"""WITH s AS (SELECT *, space_id AS label FROM {_S}), g AS (SELECT DISTINCT s.i, s.r + dr AS r, s.c + dc AS c, label FROM s, {d.sql_offsets(neighbours.offsets(8))} WHERE (s.i, s.r + dr, s.c + dc, label) NOT IN (SELECT (i, r, c, label) FROM s)), n AS (SELECT i, r, c FROM {_N})
@@ -725,13 +750,17 @@ def inherited_ids(spark, sf):
     return walls.inherited_ids(_partly(spark, sf), 2)
 
 
-@query(f"""WITH k AS (SELECT i, r, c, min(CASE WHEN room_id <> 0 THEN room_id END) AS room_id FROM {_G0} WHERE cls IN (0, 3) GROUP BY 1, 2, 3), q AS (SELECT *, i - row_number() OVER (PARTITION BY r, c ORDER BY i) AS g FROM k),
-  b AS (SELECT q.i, q.r, q.c, q.room_id, arg_min(x.room_id, x.i) AS below FROM q LEFT JOIN q x ON x.r = q.r AND x.c = q.c AND x.g = q.g AND x.i > q.i AND x.room_id IS NOT NULL GROUP BY 1, 2, 3, 4) SELECT i, r, c, below AS room_id FROM b WHERE room_id IS NULL AND below IS NOT NULL""")
+_UP = f"""WITH RECURSIVE g AS (SELECT DISTINCT * FROM {_G0}), s AS (SELECT i, r, c, max(CASE WHEN room_id = 0 THEN 1 ELSE 0 END) AS zero, min(CASE WHEN room_id <> 0 THEN room_id END) AS first FROM g GROUP BY 1, 2, 3),
+  scan(i, r, c, room, made) AS (SELECT CAST({d.LAYERS} AS INTEGER), r, c, CAST(NULL AS INTEGER), FALSE FROM (SELECT DISTINCT r, c FROM s)
+    UNION ALL SELECT CAST(scan.i - 1 AS INTEGER), scan.r, scan.c, CASE WHEN s.zero = 1 AND scan.room IS NOT NULL THEN scan.room ELSE s.first END, coalesce(s.zero = 1 AND scan.room IS NOT NULL, FALSE) FROM scan LEFT JOIN s ON s.i = scan.i - 1 AND s.r = scan.r AND s.c = scan.c WHERE scan.i > 0)
+  SELECT i, r, c, room AS room_id, 0 AS cls FROM scan WHERE made UNION ALL SELECT g.* FROM g JOIN scan USING (i, r, c) WHERE NOT made AND room_id <> 0"""
+
+
+@query(_UP)
 def ceilings_of_stack(spark, sf):
     from cellgrove.operators import walls
 
-    surfaces = _partly(spark, sf).where("cls IN (0, 3)").withColumn("cls", F.lit(0))
-    return walls.ceilings_of_stack(surfaces)
+    return walls.ceilings_of_stack(_partly(spark, sf))
 
 
 _FW = f"(SELECT DISTINCT i, r, c, (r // 10) + 1 AS room_id, cls FROM {_G1} UNION SELECT i, r, c, (r // 10) + 1, 4 FROM {_G1} WHERE cls IN (0, 3))"
