@@ -16,7 +16,7 @@ from cellgrove.llm.shared import Store, text_key
 
 #: Pieces packed together by one task: a bound of memory. What a cell leaves underfull meets that of other cells later.
 CELL = 2048
-#: Turns on end without a change after which the search is over.
+#: Turns on end that save no sequence after which the search is over.
 STALE = 2
 #: Further starts of the search in the last cell, while no packing is known to have fewer sequences.
 STARTS = 6
@@ -239,7 +239,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     and then exchanges between underfull sequences (local_search) leave few
     that are not full. Those of all cells meet in new cells, turn by turn,
     until no packing can have fewer sequences, or all underfull ones have met
-    in one cell, or STALE turns on end fill and empty none.
+    in one cell, or STALE turns on end empty none.
     Null or empty text: the end id alone. Repeated rows are packed each by
     itself; null ids stay null; other columns are ignored; an empty table gives
     an empty result.
@@ -247,19 +247,19 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     store = Store(docs.sparkSession, name)
     made = store.put(pieces(docs, path, id_col, text_col, size=size))
     n, total = made.agg(F.count("*"), F.sum("length")).first()
-    least, cells, turn, closed, before, stale = -(-(total or 0) // size), max(1, round(n / cell)), 0, [], None, 0
+    least, cells, turn, closed, before, stale, done = -(-(total or 0) // size), max(1, round(n / cell)), 0, [], None, 0, 0
     rows = made.withColumn("cell", F.pmod(F.xxhash64("rid", "piece", "ids_crc32"), F.lit(cells)))
     while True:
         out = store.put(rows.groupBy("cell").applyInArrow(_packed(size, turn, STARTS if cells == 1 else 0), _PIECES + ", rid long, sequence_id long, offset long, fill long"))
         full = F.col("fill") == size
         begins = F.col("offset") == 0
         shut, left, n = out.agg(F.count(F.when(begins & full, 1)), F.count(F.when(begins & ~full, 1)), F.count(F.when(~full, 1))).first()
-        least -= shut
-        stale = stale + 1 if left == before else 0
+        least, done = least - shut, done + shut
+        stale = stale + 1 if done + left == before else 0
         if left <= max(least, 1) or cells == 1 or stale == STALE:
             break
         closed.append(out.where(full))
-        turn, before, cells = turn + 1, left, max(1, round(n / cell))
+        turn, before, cells = turn + 1, done + left, max(1, round(n / cell))
         rows = out.where(~full).withColumn("cell", F.pmod(F.xxhash64("sequence_id", F.lit(turn)), F.lit(cells)))
     for x in closed:
         out = out.union(x)
