@@ -15,8 +15,8 @@ BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": str(2 << 20), "spark.sql.
 
 #: Tables of keys and counts go to few files.
 FEW = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32m"}
-#: Tasks, and so files, of one table for each core of the cluster. A task goes through the partitions it is given one by one.
-FILES = 4
+#: Tasks, and so files, of one table for each core of the cluster; fewer for tables of keys and counts. A task goes through the partitions it is given one by one.
+FILES, FEW_FILES = 16, 4
 #: Bytes that a task holds of a table before it writes them out.
 ROW_GROUP = 16 << 20
 
@@ -64,7 +64,8 @@ class Store:
         self.n += 1
         path = f"{self.root}/{self.n}"
         with settings(self.spark, {CLEANUP: "true"} | BATCH | (FEW if small else {})):
-            df.coalesce(FILES * self.spark.sparkContext.defaultParallelism).write.option("compression", "zstd").option("parquet.block.size", str(ROW_GROUP)).parquet(path)
+            most = (FEW_FILES if small else FILES) * self.spark.sparkContext.defaultParallelism
+            df.coalesce(most).write.option("compression", "zstd").option("parquet.block.size", str(ROW_GROUP)).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._stored_at = path
         return out
