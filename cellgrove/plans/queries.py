@@ -135,8 +135,8 @@ def _text(s):
 
 
 
-def _state_sql(rows: str) -> str:
-    return f"""WITH g AS (SELECT * FROM {d.sql_grid()}), cells AS (SELECT DISTINCT i, r, c FROM g), x AS ({rows}),
+def _state_sql(rows: str, part: int = d.ALL) -> str:
+    return f"""WITH g AS (SELECT * FROM {d.sql_grid(part)}), cells AS (SELECT DISTINCT i, r, c FROM g), x AS ({rows}),
       rooms AS (SELECT i, r, c, room_id, string_agg(DISTINCT CAST(cls AS VARCHAR), '+' ORDER BY CAST(cls AS VARCHAR)) AS cl FROM x GROUP BY i, r, c, room_id),
       t AS (SELECT i, r, c, string_agg(room_id || ':' || cl, ',' ORDER BY room_id || ':' || cl) AS state FROM rooms GROUP BY i, r, c)
       SELECT cells.i, cells.r, cells.c, coalesce(t.state, 'none') AS state FROM cells LEFT JOIN t ON cells.i = t.i AND cells.r = t.r AND cells.c = t.c"""
@@ -175,9 +175,9 @@ def state_change_classes(spark, sf):
     return _states(spark, sf).select(*CELL, _text(state.change_classes(F.col("s"), 3, F.array(F.lit(5)))).alias("state"))
 
 
-@query(_state_sql(f"SELECT * FROM g UNION SELECT * FROM {d.sql_grid(2)} WHERE (i, r, c) IN (SELECT (i, r, c) FROM cells)"))
+@query(_state_sql(f"SELECT * FROM g UNION SELECT * FROM {d.sql_grid(d.EVEN)} WHERE (i, r, c) IN (SELECT (i, r, c) FROM cells)", d.ODD))
 def state_merge(spark, sf):
-    both = d.grid(spark, sf).union(d.grid(spark, sf, 2).join(d.cells(spark, sf), CELL, "left_semi"))
+    both = d.grid(spark, sf, d.ODD).union(d.grid(spark, sf, d.EVEN).join(d.cells(spark, sf, d.ODD), CELL, "left_semi"))
     rooms = both.groupBy(*CELL, "room_id").agg(F.collect_set("cls").alias("classes"))
     return rooms.groupBy(*CELL).agg(F.collect_list(F.struct("room_id", "classes")).alias("s")).select(*CELL, _text(F.col("s")).alias("state"))
 
@@ -191,21 +191,21 @@ def shown_classes(spark, sf):
 # ---- evaluation
 
 
-_G1, _G2 = d.sql_grid(1), d.sql_grid(2)
-_MAP = f"""m AS (SELECT a.room_id AS from_id, b.room_id AS to_id, count(*) AS weight FROM (SELECT DISTINCT i, r, c, room_id FROM {_G1}) a JOIN (SELECT DISTINCT i, r, c, room_id FROM {_G2}) b USING (i, r, c) GROUP BY 1, 2)"""
+_G1, _GA, _GB = d.sql_grid(), d.sql_grid(d.ODD), d.sql_grid(d.EVEN)
+_MAP = f"""m AS (SELECT a.room_id AS from_id, b.room_id AS to_id, count(*) AS weight FROM (SELECT DISTINCT i, r, c, room_id FROM {_GA}) a JOIN (SELECT DISTINCT i, r, c, room_id FROM {_GB}) b USING (i, r, c) GROUP BY 1, 2)"""
 _MUTUAL = f"""{_MAP}, f AS (SELECT from_id, to_id, weight, count(*) OVER (PARTITION BY from_id) AS n FROM (SELECT *, max(weight) OVER (PARTITION BY from_id) AS w FROM m) WHERE weight = w),
   t AS (SELECT from_id, to_id, count(*) OVER (PARTITION BY to_id) AS n FROM (SELECT *, max(weight) OVER (PARTITION BY to_id) AS w FROM m) WHERE weight = w),
   mutual AS (SELECT f.from_id, f.to_id, f.weight FROM f JOIN t USING (from_id, to_id) WHERE f.n = 1 AND t.n = 1)"""
 
 
 def _mutual(spark, sf):
-    a, b = d.grid(spark, sf), d.grid(spark, sf, 2)
+    a, b = d.grid(spark, sf, d.ODD), d.grid(spark, sf, d.EVEN)
     return a, b, evaluation.mutual_mapping(evaluation.weighted_mapping(a, b))
 
 
 @query(f"WITH {_MAP} SELECT * FROM m")
 def weighted_room_mapping(spark, sf):
-    return evaluation.weighted_mapping(d.grid(spark, sf), d.grid(spark, sf, 2))
+    return evaluation.weighted_mapping(d.grid(spark, sf, d.ODD), d.grid(spark, sf, d.EVEN))
 
 
 @query(f"WITH {_MUTUAL} SELECT * FROM mutual")
@@ -217,14 +217,14 @@ def _lone_sql(grid: str, key: str) -> str:
     return f"(SELECT count(*) FROM (SELECT DISTINCT i, r, c, room_id FROM {grid}) x WHERE NOT EXISTS (SELECT 1 FROM mutual m WHERE m.{key} = x.room_id))"
 
 
-@query(f"""WITH {_MUTUAL}, x AS (SELECT (SELECT count(DISTINCT (i, r, c)) FROM {_G1}) AS test_cells, {_lone_sql(_G1, 'from_id')} AS test_errors, (SELECT count(DISTINCT (i, r, c)) FROM {_G2}) AS truth_cells, {_lone_sql(_G2, 'to_id')} AS truth_errors)
+@query(f"""WITH {_MUTUAL}, x AS (SELECT (SELECT count(DISTINCT (i, r, c)) FROM {_GA}) AS test_cells, {_lone_sql(_GA, 'from_id')} AS test_errors, (SELECT count(DISTINCT (i, r, c)) FROM {_GB}) AS truth_cells, {_lone_sql(_GB, 'to_id')} AS truth_errors)
   SELECT *, round(greatest(test_errors * 100.0 / test_cells, truth_errors * 100.0 / truth_cells), 6) AS error FROM x""")
 def room_mapping_error(spark, sf):
     return _rounded(evaluation.mapping_error(*_mutual(spark, sf)), "error")
 
 
-@query(f"""WITH {_MUTUAL}, a AS (SELECT DISTINCT g.i, g.r, g.c, g.room_id AS from_id, m.to_id FROM {_G1} g JOIN mutual m ON g.room_id = m.from_id),
-  b AS (SELECT DISTINCT g.i, g.r, g.c, g.room_id AS to_id FROM {_G2} g JOIN mutual m ON g.room_id = m.to_id),
+@query(f"""WITH {_MUTUAL}, a AS (SELECT DISTINCT g.i, g.r, g.c, g.room_id AS from_id, m.to_id FROM {_GA} g JOIN mutual m ON g.room_id = m.from_id),
+  b AS (SELECT DISTINCT g.i, g.r, g.c, g.room_id AS to_id FROM {_GB} g JOIN mutual m ON g.room_id = m.to_id),
   x AS (SELECT (SELECT count(*) FROM a) AS tested, (SELECT count(*) FROM b) AS "true", (SELECT count(*) FROM a JOIN b USING (i, r, c, to_id)) AS hits)
   SELECT tested, "true", hits, round(hits * 100.0 / tested, 6) AS precision, round(hits * 100.0 / "true", 6) AS recall, round(2 * (hits * 100.0 / tested) * (hits * 100.0 / "true") / (hits * 100.0 / tested + hits * 100.0 / "true"), 6) AS f1 FROM x""")
 def room_scores(spark, sf):
@@ -246,27 +246,27 @@ def _found_sql(x: str, y: str) -> str:
     return f"SELECT cls, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM {y} y WHERE y.i = x.i AND y.r = x.r AND y.c = x.c AND y.cls = x.cls)) AS hits, count(*) FILTER (EXISTS (SELECT 1 FROM {y} y, {_NEAR6} WHERE y.i = x.i + di AND y.r = x.r + dr AND y.c = x.c + dc AND y.cls = x.cls)) AS near FROM {x} x GROUP BY cls"
 
 
-@query(f"""WITH a AS (SELECT DISTINCT i, r, c, cls FROM {_G1}), b AS (SELECT DISTINCT i, r, c, cls FROM {_G2}), p AS ({_found_sql('a', 'b')}), q AS ({_found_sql('b', 'a')}),
+@query(f"""WITH a AS (SELECT DISTINCT i, r, c, cls FROM {_GA}), b AS (SELECT DISTINCT i, r, c, cls FROM {_GB}), p AS ({_found_sql('a', 'b')}), q AS ({_found_sql('b', 'a')}),
   s AS (SELECT p.cls, {_share('p.hits', 'p.n')} AS pr, {_share('q.hits', 'q.n')} AS re, {_share('p.near', 'p.n')} AS np, {_share('q.near', 'q.n')} AS nr FROM p LEFT JOIN q USING (cls))
   SELECT cls, round(pr, 6) AS precision, round(re, 6) AS recall, {_f1_sql('pr', 're')} AS f1, round(np, 6) AS near_precision, round(nr, 6) AS near_recall, {_f1_sql('np', 'nr')} AS near_f1 FROM s""")
 def class_scores(spark, sf):
-    out = evaluation.class_scores(d.grid(spark, sf), d.grid(spark, sf, 2))
+    out = evaluation.class_scores(d.grid(spark, sf, d.ODD), d.grid(spark, sf, d.EVEN))
     return _rounded(out, "precision", "recall", "f1", "near_precision", "near_recall", "near_f1")
 
 
-@query(f"""WITH x AS (SELECT a.normal AS a, b.normal AS b FROM {d.sql_normals(1)} a FULL JOIN {d.sql_normals(2)} b USING (i, r, c)),
+@query(f"""WITH x AS (SELECT a.normal AS a, b.normal AS b FROM {d.sql_normals(d.ODD)} a FULL JOIN {d.sql_normals(d.EVEN)} b USING (i, r, c)),
   y AS (SELECT CAST(sum(CASE WHEN a = b THEN 1 ELSE 0 END) AS BIGINT) AS hits, CAST(sum(CASE WHEN a IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS tested, CAST(sum(CASE WHEN b IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS "true" FROM x)
   SELECT *, round(hits * 100.0 / tested, 6) AS precision, round(hits * 100.0 / "true", 6) AS recall FROM y""")
 def normal_scores(spark, sf):
-    return _rounded(evaluation.normal_scores(d.normals(spark, sf), d.normals(spark, sf, 2)), "precision", "recall")
+    return _rounded(evaluation.normal_scores(d.normals(spark, sf, d.ODD), d.normals(spark, sf, d.EVEN)), "precision", "recall")
 
 
-@query(f"""WITH a AS (SELECT * FROM {d.sql_cells(1, 0.01)}), b AS (SELECT * FROM {d.sql_cells(2, 0.01)}),
-  n AS (SELECT a.i, a.r, a.c, min([greatest(abs(b.i - a.i), abs(b.r - a.r), abs(b.c - a.c)), (b.i - a.i) * (b.i - a.i) + (b.r - a.r) * (b.r - a.r) + (b.c - a.c) * (b.c - a.c)]) AS m FROM a, b WHERE greatest(abs(b.i - a.i), abs(b.r - a.r), abs(b.c - a.c)) <= 2 GROUP BY 1, 2, 3),
+@query(f"""WITH a AS (SELECT * FROM {d.sql_cells(d.ODD)}), b AS (SELECT * FROM {d.sql_cells(d.EVEN)}),
+  n AS (SELECT a.i, a.r, a.c, min([greatest(abs(b.i - a.i), abs(b.r - a.r), abs(b.c - a.c)), (b.i - a.i) * (b.i - a.i) + (b.r - a.r) * (b.r - a.r) + (b.c - a.c) * (b.c - a.c)]) AS m FROM a, (SELECT * FROM (SELECT unnest(range(-2, 3)) AS di), (SELECT unnest(range(-2, 3)) AS dr), (SELECT unnest(range(-2, 3)) AS dc)) o, b WHERE b.i = a.i + di AND b.r = a.r + dr AND b.c = a.c + dc GROUP BY 1, 2, 3),
   s AS (SELECT CAST(unnest(range(3)) AS INTEGER) AS step)
   SELECT step, round(count(m) / (SELECT CAST(count(*) AS DOUBLE) FROM b), 6) AS completeness, round(count(m) / (SELECT CAST(count(*) AS DOUBLE) FROM a), 6) AS correctness, round(sum(sqrt(m[2]) * 0.05) / count(m), 6) AS accuracy FROM s LEFT JOIN n ON n.m[1] <= step GROUP BY step""")
 def buffer_scores(spark, sf):
-    out = evaluation.buffer_scores(d.cells(spark, sf, 1, 0.01), d.cells(spark, sf, 2, 0.01), 2, 0.05)
+    out = evaluation.buffer_scores(d.cells(spark, sf, d.ODD), d.cells(spark, sf, d.EVEN), 2, 0.05)
     return _rounded(out, "completeness", "correctness", "accuracy")
 
 
@@ -287,10 +287,10 @@ def room_labels(spark, sf):
 for _k in (4, 6, 8, 10, 18, 26):
 
     def _components(spark, sf, k=_k):
-        return components.label_components(d.cells(spark, sf, 1, 0.01), k).select(*CELL, "label")
+        return components.label_components(d.cells(spark, sf), k).select(*CELL, "label")
 
     _components.__name__ = f"components_{_k}"
-    query(f"WITH RECURSIVE {d.sql_labels(d.sql_cells(1, 0.01), neighbours.offsets(_k))} SELECT i, r, c, label FROM labelled")(_components)
+    query(f"WITH RECURSIVE {d.sql_labels(d.sql_cells(), neighbours.offsets(_k))} SELECT i, r, c, label FROM labelled")(_components)
 
 
 @query(f"SELECT a.i, a.r, a.c, count(b.i) AS n FROM (SELECT x.i, x.r, x.c, di, dr, dc FROM {d.sql_cells()} x, {d.sql_offsets(neighbours.offsets(26))}) a LEFT JOIN {d.sql_cells()} b ON b.i = a.i + di AND b.r = a.r + dr AND b.c = a.c + dc GROUP BY 1, 2, 3")
@@ -403,9 +403,9 @@ def eroded_disc(spark, sf):
     return morphology.eroded(_dense(spark, sf), _DISC)
 
 
-@query(f"SELECT DISTINCT i + di AS i, r + dr AS r, c + dc AS c FROM {d.sql_cells(1, 0.01)}, {d.sql_offsets(_DISC)}")
+@query(f"SELECT DISTINCT i + di AS i, r + dr AS r, c + dc AS c FROM {d.sql_cells()}, {d.sql_offsets(_DISC)}")
 def dilated_disc(spark, sf):
-    return morphology.dilated(d.cells(spark, sf, 1, 0.01), _DISC)
+    return morphology.dilated(d.cells(spark, sf), _DISC)
 
 
 @query(f"WITH e AS ({_kernel_sql(_DENSE, _DISC, len(_DISC))}) SELECT DISTINCT i + di AS i, r + dr AS r, c + dc AS c FROM e, {d.sql_offsets(_DISC)}")
@@ -413,27 +413,24 @@ def opened_disc(spark, sf):
     return morphology.opened(_dense(spark, sf), _DISC)
 
 
-@query(f"""WITH w AS (SELECT * FROM {d.sql_cells()}), g AS (SELECT DISTINCT w.i, w.r, w.c FROM {d.sql_cells(1, 0.01)} s, {d.sql_offsets(_BALL)}, w WHERE w.i = s.i + di AND w.r = s.r + dr AND w.c = s.c + dc),
+@query(f"""WITH w AS (SELECT * FROM {d.sql_cells()}), g AS (SELECT DISTINCT w.i, w.r, w.c FROM {d.sql_cells(d.ODD)} s, {d.sql_offsets(_BALL)}, w WHERE w.i = s.i + di AND w.r = s.r + dr AND w.c = s.c + dc),
   x AS (SELECT * FROM w EXCEPT SELECT * FROM g) SELECT g.* FROM g WHERE NOT EXISTS (SELECT 1 FROM x, {d.sql_offsets(_BALL)} WHERE x.i = g.i + di AND x.r = g.r + dr AND x.c = g.c + dc)""")
 def closed_ball(spark, sf):
-    return morphology.closed_within(d.cells(spark, sf, 1, 0.01), _BALL, d.cells(spark, sf))
+    return morphology.closed_within(d.cells(spark, sf, d.ODD), _BALL, d.cells(spark, sf))
 
 
-@query(f"SELECT * FROM {d.sql_cells()} EXCEPT SELECT * FROM {d.sql_cells(2)}")
+@query(f"SELECT * FROM {d.sql_cells(d.ODD)} EXCEPT SELECT * FROM {d.sql_cells(d.EVEN)}")
 def grid_difference(spark, sf):
-    return d.cells(spark, sf).join(d.cells(spark, sf, 2), CELL, "left_anti")
+    return d.cells(spark, sf, d.ODD).join(d.cells(spark, sf, d.EVEN), CELL, "left_anti")
 
 
-@query(f"""WITH RECURSIVE s AS (SELECT i, r, c, space_id AS label FROM {d.sql_spaces()} WHERE space_id < 0), f AS (SELECT i, r, c FROM {d.sql_spaces()} WHERE space_id > 0),
-  g(i, r, c, n) AS (SELECT i, r, c, 0 FROM s UNION SELECT f.i, f.r, f.c, g.n + 1 FROM g, {d.sql_offsets(neighbours.offsets(4))}, f WHERE f.i = g.i AND f.r = g.r + dr AND f.c = g.c + dc AND g.n < 3),
-  t AS (SELECT i, r, c, min(n) AS n FROM g GROUP BY 1, 2, 3),
-  l1 AS (SELECT t.i, t.r, t.c, min(s.label) AS label FROM t, s, {d.sql_offsets(neighbours.offsets(4))} WHERE t.n = 1 AND s.i = t.i AND s.r = t.r + dr AND s.c = t.c + dc GROUP BY 1, 2, 3),
-  l2 AS (SELECT t.i, t.r, t.c, min(l1.label) AS label FROM t, l1, {d.sql_offsets(neighbours.offsets(4))} WHERE t.n = 2 AND l1.i = t.i AND l1.r = t.r + dr AND l1.c = t.c + dc GROUP BY 1, 2, 3),
-  l3 AS (SELECT t.i, t.r, t.c, min(l2.label) AS label FROM t, l2, {d.sql_offsets(neighbours.offsets(4))} WHERE t.n = 3 AND l2.i = t.i AND l2.r = t.r + dr AND l2.c = t.c + dc GROUP BY 1, 2, 3)
-  SELECT * FROM s UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3""")
+@query(f"""WITH RECURSIVE s AS (SELECT i, r, c, space_id AS label FROM {d.sql_spaces()} WHERE space_id < 0), f AS MATERIALIZED (SELECT i, r, c FROM {d.sql_spaces()} WHERE space_id > 0),
+  g(i, r, c, label) USING KEY (i, r, c) AS (SELECT * FROM s UNION SELECT f.i, f.r, f.c, min(g.label) FROM g, {d.sql_offsets(neighbours.offsets(4))}, f LEFT JOIN recurring.g AS k ON k.i = f.i AND k.r = f.r AND k.c = f.c
+    WHERE k.i IS NULL AND f.i = g.i AND f.r = g.r + dr AND f.c = g.c + dc GROUP BY 1, 2, 3)
+  SELECT * FROM g""")
 def grown_layers(spark, sf):
     s = d.spaces(spark, sf)
-    return morphology.grown(s.where("space_id < 0").withColumnRenamed("space_id", "label"), s.where("space_id > 0"), 4, rounds=3)
+    return morphology.grown(s.where("space_id < 0").withColumnRenamed("space_id", "label"), s.where("space_id > 0"), 4)
 
 
 _DIRS8 = [(b, c) for _, b, c in neighbours.offsets(8)]
@@ -538,15 +535,15 @@ def interior_cells(spark, sf):
     return reconstruct.interior(d.grid(spark, sf))
 
 
-@query(f"SELECT n.i, n.r, n.c, n.normal FROM {_N} n LEFT JOIN {d.sql_cells(2)} g USING (i, r, c) WHERE NOT EXISTS (SELECT 1 FROM {d.sql_cells(2)} g WHERE g.i = n.i AND g.r = n.r AND g.c = n.c)")
+@query(f"SELECT n.i, n.r, n.c, n.normal FROM {_N} n LEFT JOIN {d.sql_cells(d.EVEN)} g USING (i, r, c) WHERE NOT EXISTS (SELECT 1 FROM {d.sql_cells(d.EVEN)} g WHERE g.i = n.i AND g.r = n.r AND g.c = n.c)")
 def roomless_cells(spark, sf):
-    return reconstruct.roomless(d.normals(spark, sf), d.grid(spark, sf, 2))
+    return reconstruct.roomless(d.normals(spark, sf), d.grid(spark, sf, d.EVEN))
 
 
-@query(f"""WITH l AS (SELECT n.* FROM {_N} n WHERE NOT EXISTS (SELECT 1 FROM {d.sql_cells(2)} g WHERE g.i = n.i AND g.r = n.r AND g.c = n.c)), t AS (SELECT DISTINCT i, r, c, room_id, cls FROM {_G2} WHERE cls IN (0, 3)),
+@query(f"""WITH l AS (SELECT n.* FROM {_N} n WHERE NOT EXISTS (SELECT 1 FROM {d.sql_cells(d.EVEN)} g WHERE g.i = n.i AND g.r = n.r AND g.c = n.c)), t AS (SELECT DISTINCT i, r, c, room_id, cls FROM {_GB} WHERE cls IN (0, 3)),
   k AS (SELECT l.i, l.r, l.c, t.room_id, t.cls, row_number() OVER (PARTITION BY l.i, l.r, l.c ORDER BY abs(t.i - l.i), t.i - l.i, t.room_id, t.cls) AS k FROM l JOIN t ON t.r = l.r AND t.c = l.c AND abs(t.i - l.i) BETWEEN 1 AND 3 WHERE (normal = 1 AND t.i > l.i) OR (normal = 2 AND t.i < l.i) OR normal > 2) SELECT i, r, c, room_id, cls FROM k WHERE k = 1""")
 def roomless_assigned(spark, sf):
-    g = d.grid(spark, sf, 2)
+    g = d.grid(spark, sf, d.EVEN)
     return reconstruct.roomless_assigned(reconstruct.roomless(d.normals(spark, sf), g), g, 3)
 
 
@@ -556,21 +553,21 @@ def merged_rooms(spark, sf):
     return reconstruct.merged_rooms(d.grid(spark, sf))
 
 
-_BORDER = "(r IN (0, 19) OR c IN (0, 19))"
+_BORDER = f"(r IN (0, (SELECT max(r) FROM {d.sql_cells()})) OR c IN (0, (SELECT max(c) FROM {d.sql_cells()})))"
 _EMPTY = d.sql_labels(d.sql_empty(d.sql_cells()), neighbours.offsets(4))
 
 
 @query(f"WITH RECURSIVE {_EMPTY} SELECT i, r, c FROM labelled WHERE label IN (SELECT label FROM labelled WHERE {_BORDER})")
 def outside_cells(spark, sf):
     g = d.cells(spark, sf)
-    return reconstruct.outside(g, d.empty(spark, g), (0, 0), (19, 19))
+    return reconstruct.outside(g, d.empty(spark, g), (0, 0), d.corner(g))
 
 
 @query(f"""WITH RECURSIVE {_EMPTY}, n AS (SELECT l.label, min(g.room_id) AS lo, max(g.room_id) AS hi FROM labelled l, {d.sql_offsets(neighbours.offsets(4))}, {_G1} g WHERE g.i = l.i AND g.r = l.r + dr AND g.c = l.c + dc AND l.label NOT IN (SELECT label FROM labelled WHERE {_BORDER}) GROUP BY 1)
   SELECT i, r, c, lo AS room_id, 1 AS cls FROM labelled JOIN n USING (label) WHERE lo = hi""")
 def enclosed_filled(spark, sf):
     g = d.grid(spark, sf)
-    return reconstruct.enclosed_filled(g, d.empty(spark, g), (0, 0), (19, 19))
+    return reconstruct.enclosed_filled(g, d.empty(spark, g), (0, 0), d.corner(g))
 
 
 @query(f"""WITH g AS (SELECT * FROM {_G1}), k AS (SELECT DISTINCT i, r, c, room_id, cls FROM g WHERE cls IN (0, 3)), t AS (SELECT k.i, k.r, k.c, k.room_id, (SELECT min(f.i) FROM k f WHERE f.r = k.r AND f.c = k.c AND f.room_id = k.room_id AND f.cls = 3 AND f.i > k.i) AS f FROM k WHERE cls = 0),
@@ -660,11 +657,11 @@ def dominant_rooms(spark, sf):
     return segments.dominant_room(d.spaces(spark, sf))
 
 
-@query("""WITH RECURSIVE e AS (SELECT s_suppkey % 40 AS a, (s_suppkey * 7 + s_nationkey) % 40 AS b FROM supplier WHERE s_suppkey % 3 = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-  reach(a, b) AS (SELECT a, a FROM u WHERE a <> b UNION SELECT reach.a, u.b FROM reach JOIN u ON reach.b = u.a) SELECT a AS source, min(b) AS target FROM reach GROUP BY 1""")
+@query("""WITH RECURSIVE e AS (SELECT s_suppkey AS a, s_suppkey * 7 + s_nationkey AS b FROM supplier), u AS MATERIALIZED (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
+  low(a, b) USING KEY (a) AS (SELECT DISTINCT a, a FROM u UNION SELECT u.a, min(low.b) FROM low JOIN u ON u.b = low.a JOIN recurring.low AS k ON k.a = u.a WHERE low.b < k.b GROUP BY u.a) SELECT a AS source, b AS target FROM low""")
 def id_clusters(spark, sf):
-    s = spark.read.parquet(f"{sf}/supplier.parquet").where("s_suppkey % 3 = 0")
-    return segments.cluster_mapping(s.selectExpr("s_suppkey % 40 AS a", "(s_suppkey * 7 + s_nationkey) % 40 AS b"))
+    s = spark.read.parquet(f"{sf}/supplier.parquet")
+    return segments.cluster_mapping(s.selectExpr("s_suppkey AS a", "s_suppkey * 7 + s_nationkey AS b"))
 
 
 @query(f"SELECT i, r, c, CASE WHEN space_id IN (1, 2) THEN 3 ELSE space_id END AS space_id FROM {_S}")
@@ -677,11 +674,11 @@ def segment_medians(spark, sf):
     return d.spaces(spark, sf).groupBy("space_id").agg(segments.median(F.col("i")).alias("i"), segments.median(F.col("r")).alias("r"))
 
 
-@query(f"""WITH RECURSIVE {d.sql_labels(d.sql_cells(1, 0.01), neighbours.offsets(26))}, z AS (SELECT *, (r // 10) * 2 + c // 10 AS k FROM labelled), n AS (SELECT k, label, count(*) AS n FROM z GROUP BY 1, 2), t AS (SELECT k, label FROM (SELECT *, max(n) OVER (PARTITION BY k) AS m FROM n) WHERE n = m)
+@query(f"""WITH RECURSIVE {d.sql_labels(d.sql_cells(), neighbours.offsets(26))}, z AS (SELECT *, r // 10 * 400 + c // 10 AS k FROM labelled), n AS (SELECT k, label, count(*) AS n FROM z GROUP BY 1, 2), t AS (SELECT k, label FROM (SELECT *, max(n) OVER (PARTITION BY k) AS m FROM n) WHERE n = m)
   SELECT z.i, z.r, z.c, CAST(z.k AS INTEGER) AS k, z.label FROM z JOIN t ON z.k = t.k AND z.label = t.label""")
 def largest_parts(spark, sf):
-    v = components.label_components(d.cells(spark, sf, 1, 0.01), 26)
-    z = v.withColumn("k", (F.floor(F.col("r") / 10) * 2 + F.floor(F.col("c") / 10)).cast("int"))
+    v = components.label_components(d.cells(spark, sf), 26)
+    z = v.withColumn("k", F.expr("CAST(r DIV 10 * 400 + c DIV 10 AS INT)"))
     return segments.largest_parts(z, "k").select(*CELL, "k", "label")
 
 
@@ -693,18 +690,18 @@ def horizontal_stacks(spark, sf):
     return normals.horizontal_stacks(d.cells(spark, sf), 4)
 
 
-@query(f"""WITH s AS (SELECT *, CAST(space_id AS BIGINT) + 100 AS label FROM {_S}), w AS (SELECT *, lag(label) OVER p AS up, lag(i) OVER p AS ui, lead(label) OVER p AS dn FROM s WINDOW p AS (PARTITION BY r, c ORDER BY i)),
+@query(f"""WITH s AS (SELECT *, CAST(abs(space_id) * 2 + CASE WHEN space_id < 0 THEN 1 ELSE 0 END AS BIGINT) AS label FROM {_S}), w AS (SELECT *, lag(label) OVER p AS up, lag(i) OVER p AS ui, lead(label) OVER p AS dn FROM s WINDOW p AS (PARTITION BY r, c ORDER BY i)),
   e AS (SELECT label AS lower, up AS upper, i - ui AS d FROM w WHERE up <> label UNION ALL SELECT label, -2, NULL FROM w WHERE up IS NULL UNION ALL SELECT -1, label, NULL FROM w WHERE dn IS NULL)
   SELECT lower, upper, count(*) AS coverage, round(avg(d), 6) AS distance FROM e GROUP BY 1, 2""")
 def vertical_adjacency(spark, sf):
-    s = d.spaces(spark, sf).withColumn("label", F.col("space_id").cast("long") + 100)
+    s = d.spaces(spark, sf).withColumn("label", F.expr("CAST(abs(space_id) * 2 + CASE WHEN space_id < 0 THEN 1 ELSE 0 END AS BIGINT)"))
     return _rounded(normals.vertical_graph(s), "distance")
 
 
-@query(f"""WITH s AS (SELECT *, CAST(space_id AS BIGINT) + 100 AS label FROM {_S}), w AS (SELECT *, lag(label) OVER p AS up FROM s WINDOW p AS (PARTITION BY r, c ORDER BY i)), e AS (SELECT label AS lower, up AS upper, count(*) AS coverage FROM w WHERE up <> label GROUP BY 1, 2)
+@query(f"""WITH s AS (SELECT *, CAST(abs(space_id) * 2 + CASE WHEN space_id < 0 THEN 1 ELSE 0 END AS BIGINT) AS label FROM {_S}), w AS (SELECT *, lag(label) OVER p AS up FROM s WINDOW p AS (PARTITION BY r, c ORDER BY i)), e AS (SELECT label AS lower, up AS upper, count(*) AS coverage FROM w WHERE up <> label GROUP BY 1, 2)
   SELECT lower, upper, coverage FROM (SELECT *, max(coverage) OVER (PARTITION BY upper) AS m FROM e) WHERE coverage = m""")
 def main_segments(spark, sf):
-    s = d.spaces(spark, sf).withColumn("label", F.col("space_id").cast("long") + 100)
+    s = d.spaces(spark, sf).withColumn("label", F.expr("CAST(abs(space_id) * 2 + CASE WHEN space_id < 0 THEN 1 ELSE 0 END AS BIGINT)"))
     return normals.main_above(normals.vertical_graph(s)).select("lower", "upper", "coverage")
 
 
@@ -732,22 +729,23 @@ def contact_votes(spark, sf):
 # ---- walls and ceilings after partitioning
 
 
-_G0 = f"(SELECT i, r, c, CASE WHEN room_id IN (3, 6, 9, 14) THEN room_id ELSE 0 END AS room_id, cls FROM {_G1})"
+_G0 = f"(SELECT i, r, c, CASE WHEN room_id % 16 IN (3, 6, 11) THEN room_id ELSE 0 END AS room_id, cls FROM {_G1})"
 
 
 def _partly(spark, sf):
-    return d.grid(spark, sf).withColumn("room_id", F.when(F.col("room_id").isin(3, 6, 9, 14), F.col("room_id")).otherwise(0)).distinct()
+    return d.grid(spark, sf).withColumn("room_id", F.when((F.col("room_id") % 16).isin(3, 6, 11), F.col("room_id")).otherwise(0)).distinct()
 
 
-@query(f"""WITH g AS (SELECT DISTINCT * FROM {_G0}), a AS (SELECT i, r, c, count(DISTINCT room_id) AS n, min(room_id) AS id, max(CASE WHEN cls = 4 THEN 1 ELSE 0 END) AS w, max(CASE WHEN cls IN (0, 3) THEN 1 ELSE 0 END) AS s FROM g GROUP BY 1, 2, 3),
-  s0 AS (SELECT i, r, c, id FROM a WHERE n = 1 AND id <> 0), f AS (SELECT i, r, c FROM a WHERE n = 1 AND id = 0 AND (w = 1 OR s = 0)),
-  l1 AS (SELECT DISTINCT f.i, f.r, f.c, x.id FROM f, {_O4}, s0 x WHERE x.i = f.i AND x.r = f.r + dr AND x.c = f.c + dc), s1 AS (SELECT * FROM s0 UNION ALL SELECT i, r, c, min(id) FROM l1 GROUP BY 1, 2, 3 HAVING count(*) = 1),
-  l2 AS (SELECT DISTINCT f.i, f.r, f.c, x.id FROM f, {_O4}, s1 x WHERE x.i = f.i AND x.r = f.r + dr AND x.c = f.c + dc AND (f.i, f.r, f.c) NOT IN (SELECT (i, r, c) FROM l1)), l AS (SELECT * FROM l1 UNION ALL SELECT * FROM l2)
+@query(f"""WITH RECURSIVE g AS (SELECT DISTINCT * FROM {_G0}), a AS MATERIALIZED (SELECT i, r, c, count(DISTINCT room_id) AS n, min(room_id) AS id, max(CASE WHEN cls = 4 THEN 1 ELSE 0 END) AS w, max(CASE WHEN cls IN (0, 3) THEN 1 ELSE 0 END) AS s FROM g GROUP BY 1, 2, 3),
+  f AS MATERIALIZED (SELECT i, r, c FROM a WHERE n = 1 AND id = 0 AND (w = 1 OR s = 0)),
+  t(i, r, c, ids, taken) USING KEY (i, r, c) AS (SELECT i, r, c, [id], FALSE FROM a WHERE n = 1 AND id <> 0 UNION
+    SELECT f.i, f.r, f.c, list(DISTINCT t.ids[1]), TRUE FROM t, {_O4}, f LEFT JOIN recurring.t AS k ON k.i = f.i AND k.r = f.r AND k.c = f.c WHERE k.i IS NULL AND len(t.ids) = 1 AND t.i = f.i AND t.r = f.r + dr AND t.c = f.c + dc GROUP BY 1, 2, 3),
+  l AS MATERIALIZED (SELECT i, r, c, unnest(ids) AS id FROM t WHERE taken)
   SELECT i, r, c, room_id, cls FROM g WHERE (i, r, c) NOT IN (SELECT (i, r, c) FROM l) UNION ALL SELECT DISTINCT g.i, g.r, g.c, l.id, CASE cls WHEN 1 THEN 5 WHEN 2 THEN 4 ELSE cls END FROM g JOIN l ON g.i = l.i AND g.r = l.r AND g.c = l.c""")
 def inherited_ids(spark, sf):
     from cellgrove.operators import walls
 
-    return walls.inherited_ids(_partly(spark, sf), 2)
+    return walls.inherited_ids(_partly(spark, sf))
 
 
 _UP = f"""WITH RECURSIVE g AS (SELECT DISTINCT * FROM {_G0}), s AS (SELECT i, r, c, max(CASE WHEN room_id = 0 THEN 1 ELSE 0 END) AS zero, min(CASE WHEN room_id <> 0 THEN room_id END) AS first FROM g GROUP BY 1, 2, 3),
