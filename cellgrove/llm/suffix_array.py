@@ -176,11 +176,11 @@ def later_windows(texts: DataFrame, store: Store, width: int = WIDTH, k: int = A
     """
     every = store.put(texts.select("rid", "ord", "text").mapInArrow(_emit(width, k), _PATHS))
     again = every.groupBy("mh").agg(F.count("*").alias("c"), F.min("ph").alias("lo"), F.max("ph").alias("hi")).where("c > 1")
-    again = store.put(again.select("mh", (F.col("lo") == F.col("hi")).alias("one")))
-    found = store.put(every.join(again, "mh"))
+    again = store.put(again.select("mh", (F.col("lo") == F.col("hi")).alias("one")), small=True)
+    found = store.put(every.join(again, "mh"), small=True)
     store.drop(every, again)
-    first = store.put(found.groupBy("ph").agg(F.min(F.struct("ord", "rid", "start")).alias("f")).select("ph", F.col("f.rid").alias("frid"), F.col("f.start").alias("fstart")))
-    marked = store.put(found.join(first, "ph").withColumn("is_first", F.expr("rid = frid AND start = fstart")).select("mh", "rid", "ord", "start", "n", "one", "is_first"))
+    first = store.put(found.groupBy("ph").agg(F.min(F.struct("ord", "rid", "start")).alias("f")).select("ph", F.col("f.rid").alias("frid"), F.col("f.start").alias("fstart")), small=True)
+    marked = store.put(found.join(first, "ph").withColumn("is_first", F.expr("rid = frid AND start = fstart")).select("mh", "rid", "ord", "start", "n", "one", "is_first"), small=True)
     store.drop(found, first)
     copies = marked.where("not is_first").select("rid", "start", "n")
 
@@ -189,17 +189,17 @@ def later_windows(texts: DataFrame, store: Store, width: int = WIDTH, k: int = A
     cut = texts.select("rid", "ord", "text").join(at, "rid").dropDuplicates(["rid"]).mapInArrow(_cut_out(width), "mh long, rid long, ord long, start long, n int, text binary")
     cut = store.put(cut)
     size = cut.groupBy("mh").agg(F.sum(F.length("text")).alias("bytes"))
-    large = store.put(size.where(F.col("bytes") > bucket).select("mh"))
+    large = store.put(size.where(F.col("bytes") > bucket).select("mh"), small=True)
     total = cut.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(1, -(-total // bucket))
     small = cut.join(large, "mh", "left_anti").withColumn("b", F.pmod(F.xxhash64("mh"), F.lit(buckets)))
     ends = store.put(small.groupBy("b").applyInArrow(_later(width), "rid long, start long")).select("rid", "start", F.lit(1).alias("n"))
     wide = cut.join(large, "mh").select("rid", "ord", "start", "n", "text").mapInArrow(_windows(width), "h long, rid long, ord long, start long")
     wide = store.put(wide)
-    least = store.put(wide.groupBy("h").agg(F.min(F.struct("ord", "rid", "start")).alias("f")))
+    least = store.put(wide.groupBy("h").agg(F.min(F.struct("ord", "rid", "start")).alias("f")), small=True)
     wide = wide.join(least, "h").where("NOT (rid = f.rid AND start = f.start)").select("rid", "start", F.lit(1).alias("n"))
     gone = copies.union(ends).union(wide)
-    return store.put(gone.groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("at")))
+    return store.put(gone.groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("at")), small=True)
 
 
 def _report(width: int):
