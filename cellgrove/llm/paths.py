@@ -59,7 +59,7 @@ def _edges(hashed, width: int):
         runs, parts = np.flatnonzero(whole), np.flatnonzero(split)
         m = n[parts]
         each = np.repeat(np.arange(len(parts)), m)
-        inside = np.arange(m.sum()) - np.repeat(np.r_[0, np.cumsum(m)[:-1]], m)
+        inside = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
         of = np.r_[runs, parts[each]]
         at = np.r_[base[runs], base[parts][each] + inside]
         length = np.r_[n[runs], np.ones(len(each), dtype=np.int32)]

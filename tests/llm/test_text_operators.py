@@ -93,6 +93,14 @@ def test_repeated_rows_cost_no_more_than_their_number(spark):
         assert edges.count() == edges.select("rid", "start").distinct().count() <= 156 + 16
 
 
+def test_copies_without_a_branch(spark):
+    """No anchor has two runs, so there are no edges to take apart."""
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(90)) for _ in range(3)]
+    rows = [(k * 10 + j, text) for k, text in enumerate(texts) for j in range(2)]
+    same(substring.removal_report(spark.createDataFrame(rows, "doc_id long, text string")), brute.without_windows(rows, 35))
+
+
 def test_passages_are_compacted_paths(spark):
     rng = random.Random(6)
     words = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
