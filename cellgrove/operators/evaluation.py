@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import product
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellgrove.operators.blocks import Block, in_blocks, union_marked
 from cellgrove.operators.neighbours import CELL, with_neighbours
 
 
@@ -85,19 +90,39 @@ def buffer_scores(test: DataFrame, truth: DataFrame, steps: int, resolution: flo
 
     The nearest is sought in growing cubes; its distance is Euclidean. A test
     cell is a hit of a step if its cube is not larger. Completeness divides the
-    same hits by the truth, so it can exceed 1.
+    same hits by the truth, so it can exceed 1. Cells meet in blocks, not once
+    for each cell of the cube.
     """
+    found = in_blocks(union_marked(test, truth), steps, _nearest(steps), "ring int, square int, n long").groupBy("ring", "square").agg(F.sum("n").alias("n"))
+    best = found.where("ring >= 0 AND n > 0").select("ring", "n", (F.sqrt("square") * resolution * F.col("n")).alias("s"))
+    at = found.sparkSession.range(steps + 1).select(F.col("id").cast("int").alias("step"))
+    per = at.join(F.broadcast(best.groupBy("ring").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))), F.col("ring") <= F.col("step"), "left").groupBy("step").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("hits"), F.sum("s").alias("s"))
+    n = lambda k: F.sum(F.when((F.col("ring") == -1) & (F.col("square") == k), F.col("n")))
+    all_ = per.crossJoin(F.broadcast(found.agg(n(0).alias("tested"), n(1).alias("true"))))
+    return all_.select("step", F.try_divide("hits", "true").alias("completeness"), F.try_divide("hits", "tested").alias("correctness"), F.try_divide("s", "hits").alias("accuracy"))
+
+
+def _nearest(steps: int):
+    """Test cells of a block by ring and square of their nearest truth cell; ring -1: all cells of test (0) and truth (1)."""
     span = range(-steps, steps + 1)
-    cube = [(a, b, c) for a in span for b in span for c in span]
-    near = with_neighbours(test.select(*CELL).distinct(), truth.select(*CELL).distinct(), cube)
-    ring = F.greatest(*[F.abs(F.col(f"n{x}") - F.col(x)) for x in CELL])
-    square = sum(((F.col(f"n{x}") - F.col(x)) * (F.col(f"n{x}") - F.col(x)) for x in CELL), F.lit(0))
-    best = near.groupBy(*CELL).agg(F.min(F.struct(ring.alias("ring"), square.alias("square"))).alias("b")).select(F.col("b.ring").alias("ring"), (F.sqrt(F.col("b.square")) * resolution).alias("distance"))
-    at = best.sparkSession.range(steps + 1).select(F.col("id").cast("int").alias("step"))
-    per = at.join(F.broadcast(best.groupBy("ring").agg(F.count("*").alias("n"), F.sum("distance").alias("s"))), F.col("ring") <= F.col("step"), "left").groupBy("step").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("hits"), F.sum("s").alias("s"))
-    totals = test.select(*CELL).distinct().agg(F.count("*").alias("tested")).crossJoin(truth.select(*CELL).distinct().agg(F.count("*").alias("true")))
-    all_ = per.crossJoin(F.broadcast(totals))
-    return all_.select("step", (F.col("hits") / F.col("true")).alias("completeness"), (F.col("hits") / F.col("tested")).alias("correctness"), F.try_divide("s", "hits").alias("accuracy"))
+    rings: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    for o in product(span, repeat=3):
+        rings.setdefault((max(map(abs, o)), sum(x * x for x in o)), []).append(o)
+
+    def f(block: Block, at: np.ndarray, marks: np.ndarray) -> pa.Table:
+        truth = block.grid(at[marks == 1])
+        left = block.inner(block.grid(at[marks == 0]))
+        out = [(-1, 0, len(left)), (-1, 1, len(block.inner(truth)))]
+        for (ring, square), offsets in sorted(rings.items()):
+            near = np.zeros(len(left), dtype=bool)
+            for o in offsets:
+                near |= truth[left + block.step(o)]
+            out.append((ring, square, int(near.sum())))
+            left = left[~near]
+        ring, square, n = zip(*out)
+        return pa.table([pa.array(ring, pa.int32()), pa.array(square, pa.int32()), pa.array(n, pa.int64())], names=["ring", "square", "n"])
+
+    return f
 
 
 def class_distribution(grid: DataFrame) -> DataFrame:
