@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellgrove.operators.blocks import Block, in_blocks, union_marked
 from cellgrove.operators.neighbours import CELL, neighbour_count, shifted, with_neighbours
 from cellgrove.plans.store import stored
 
@@ -30,7 +33,7 @@ def eroded(cells: DataFrame, kernel: list[tuple[int, int, int]]) -> DataFrame:
 def dilated(cells: DataFrame, kernel: list[tuple[int, int, int]], within: DataFrame | None = None) -> DataFrame:
     """Cells of the kernels around the set; only those of `within` if given."""
     out = shifted(cells.select(*CELL).distinct(), kernel).select(F.col("ni").alias("i"), F.col("nr").alias("r"), F.col("nc").alias("c")).distinct()
-    return out if within is None else out.join(within.select(*CELL).distinct(), CELL, "left_semi")
+    return out if within is None else out.join(within.select(*CELL).distinct().hint("merge"), CELL, "left_semi")
 
 
 def opened(cells: DataFrame, kernel: list[tuple[int, int, int]]) -> DataFrame:
@@ -40,10 +43,28 @@ def opened(cells: DataFrame, kernel: list[tuple[int, int, int]]) -> DataFrame:
 
 def closed_within(cells: DataFrame, kernel: list[tuple[int, int, int]], within: DataFrame) -> DataFrame:
     """Closing that only takes up cells of `within`; cells outside it don't count as missing when it erodes."""
-    grown = dilated(cells, kernel, within)
-    lacking = within.select(*CELL).distinct().join(grown, CELL, "left_anti")
-    harmed = with_neighbours(grown, lacking, [(-a, -b, -c) for a, b, c in kernel]).select(*CELL).distinct()
-    return grown.join(harmed, CELL, "left_anti")
+    reach = max([0, *(abs(x) for o in kernel for x in o)])
+
+    def f(block: Block, at: np.ndarray, marks: np.ndarray) -> pa.Table:
+        seeds, inside = block.grid(at[marks == 0]), block.grid(at[marks == 1])
+        near = block.inner(inside, reach)
+        steps = [block.step(o) for o in kernel]
+        found = _any(seeds, near, steps)
+        lacking = block.grid(near[~found])
+        own = block.inner(block.grid(near[found]))
+        return pa.table(block.cells(own[~_any(lacking, own, steps)]), names=CELL)
+
+    # what a cell keeps depends on cells within its kernel's reach, and they on seeds within theirs
+    out = in_blocks(union_marked(cells, within), 2 * reach, f, "i int, r int, c int")
+    return out.select(*[F.col(x).cast(within.schema[x].dataType).alias(x) for x in CELL])
+
+
+def _any(grid: np.ndarray, at: np.ndarray, steps: list[int]) -> np.ndarray:
+    """Which positions lie a step behind one that holds."""
+    out = np.zeros(len(at), dtype=bool)
+    for s in steps:
+        out |= grid[at - s]
+    return out
 
 
 def grown(labelled: DataFrame, free: DataFrame, k: int, label: str = "label", rounds: int | None = None) -> DataFrame:
