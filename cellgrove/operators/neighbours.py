@@ -34,9 +34,13 @@ def shifted(cells: DataFrame, k: int | list[tuple[int, int, int]], keep: bool =
 
 
 def with_neighbours(cells: DataFrame, others: DataFrame, k: int | list, how: str = "inner", prefix: str = "n_") -> DataFrame:
-    """Cells joined with the rows of `others` at each neighbour; their columns get a prefix."""
+    """Cells joined with the rows of `others` at each neighbour; their columns get a prefix.
+
+    Spark counts a cell once, not once for each neighbour, when it estimates
+    what it may broadcast; so the join is always a sorted one.
+    """
     renamed = others.select(*[F.col(x).alias({"i": "ni", "r": "nr", "c": "nc"}.get(x, prefix + x)) for x in others.columns])
-    return shifted(cells, k).join(renamed, ["ni", "nr", "nc"], how)
+    return shifted(cells, k).join(renamed.hint("merge"), ["ni", "nr", "nc"], how)
 
 
 def neighbour_count(cells: DataFrame, others: DataFrame, k: int | list, name: str = "n") -> DataFrame:

@@ -24,7 +24,7 @@ def marched(cells: DataFrame, directions: list[tuple[int, int, int]], straight:
 def first_hits(cells: DataFrame, targets: DataFrame, directions: list[tuple[int, int, int]], straight: int, diagonal: int | None = None) -> DataFrame:
     """For each cell and direction the nearest target: the cell's columns, di, dr, dc, d and the target's columns with n_."""
     at = targets.select(*[F.col(x).alias({"i": "ni", "r": "nr", "c": "nc"}.get(x, f"n_{x}")) for x in targets.columns])
-    hits = marched(cells, directions, straight, diagonal).join(at, ["ni", "nr", "nc"])
+    hits = marched(cells, directions, straight, diagonal).join(at.hint("merge"), ["ni", "nr", "nc"])
     carried = [x for x in at.columns if x not in ("ni", "nr", "nc")]
     best = F.min(F.struct("d", "ni", "nr", "nc", *carried)).alias("_b")
     return hits.groupBy(*cells.columns, "di", "dr", "dc").agg(best).select(*cells.columns, "di", "dr", "dc", "_b.*")
@@ -58,7 +58,7 @@ def slope(floors: DataFrame, radius: int, radius_diagonal: int, most: int, walls
     moved = at.withColumn("_o", F.explode(steps)).withColumns({"nr": F.col("r") + F.col("_o.dr"), "nc": F.col("c") + F.col("_o.dc")})
     if walls is not None:
         wall = walls.select(F.col("i").alias("ni"), F.col("r").alias("nr"), F.col("c").alias("nc")).distinct()
-        met = marched(at, offsets(8), radius, radius_diagonal).join(wall, ["ni", "nr", "nc"], "left_semi")
+        met = marched(at, offsets(8), radius, radius_diagonal).join(wall.hint("merge"), ["ni", "nr", "nc"], "left_semi")
         met = met.select(*CELL, F.signum("dr").cast("int").alias("sr"), F.signum("dc").cast("int").alias("sc")).distinct()
         moved = moved.withColumns({"sr": F.signum("_o.dr").cast("int"), "sc": F.signum("_o.dc").cast("int")}).join(met, [*CELL, "sr", "sc"], "left_anti")
     other = at.select(F.col("i").alias("ni"), F.col("r").alias("nr"), F.col("c").alias("nc"))

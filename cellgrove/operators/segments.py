@@ -98,7 +98,7 @@ def small_room_mapping(spaces: DataFrame, areas: DataFrame, least: int) -> DataF
 def border_votes(labelled: DataFrame, normals: DataFrame, label: str = "label") -> DataFrame:
     """Contacts of each segment, over six neighbours outside it, with cells whose normal is up, down or horizontal."""
     at = labelled.select(*CELL, label)
-    other = normals.select(*CELL, "normal").join(at.withColumnRenamed(label, "own"), CELL, "left")
+    other = normals.select(*CELL, "normal").join(at.withColumnRenamed(label, "own").hint("merge"), CELL, "left")
     near = with_neighbours(at, other, 6).where(F.col("n_own").isNull() | (F.col("n_own") != F.col(label)))
     n = lambda *k: F.sum(F.col("n_normal").isin(*k).cast("int"))
     return near.groupBy(label).agg(n(2, 4).alias("up"), n(1, 4).alias("down"), n(3).alias("horizontal"))
