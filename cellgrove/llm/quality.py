@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellgrove.llm.shared import Store, text_key
+from cellgrove.llm.shared import FEW_FILES, Store, text_key
 
 _SPACE = r"[\x20\x09-\x0D]+"
 _SPACES = " \t\n\x0b\f\r"
@@ -120,11 +120,12 @@ def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, stra
     kept = [c for c in rows.columns if c not in ("q", "text_id")]
     base = rows.select(*kept, "text_id", *[F.col(f"q.{c}").alias(c) for c in _COUNTS])
     base = base.withColumn("base_failed", F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words"))
-    base = store.put(base.withColumns({r: F.expr(e) for r, e in RULES.items()}))
+    base = store.keep(base.withColumns({r: F.expr(e) for r, e in RULES.items()}))
     marks = labels.where("quality is not null").groupBy("doc_id").agg(F.max(F.col("quality") == 1).alias("good"))
     found = store.put(cutoffs(base.select("doc_id", "text_id", "stratum", *RULES).join(marks, "doc_id"), limit=limit, risk=risk), small=True)
     by_stratum = found.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cut"))
-    out = base.join(by_stratum, "stratum", "left")
+    # verdicts cost little: few tasks, as each makes a file
+    out = base.coalesce(FEW_FILES * docs.sparkSession.sparkContext.defaultParallelism // 2).join(by_stratum, "stratum", "left")
     failed = F.array_compact(F.array(*[F.when(F.col(r) > F.element_at("cut", F.lit(r)), F.lit(r)) for r in RULES]))
     failed = F.coalesce(failed, F.array().cast("array<string>"))
     return out.select(*kept, *_COUNTS, "base_failed", failed.alias("failed_rules")).withColumn("kept", F.expr("NOT base_failed AND size(failed_rules) = 0"))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,24 +59,42 @@ class Store:
     A table is written once to the shared folder and read back, so later steps
     don't depend on the executors that made it. Shuffle files of the job that
     wrote it are removed as soon as it is written.
+
+    direct: where the folder is mounted (file:), Python workers write its files.
+    Without Hadoop's native library the JVM starts a process for each file and
+    task folder that it makes; until that one runs, it counts as large as the JVM.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, *, direct: bool = False):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        self.direct = direct and self.root.startswith("file:")
 
     def put(self, df: DataFrame, *, small: bool = False) -> DataFrame:
         """small: a table of keys and counts, written in few files."""
         self.n += 1
         path = f"{self.root}/{self.n}"
         with settings(self.spark, {CLEANUP: "true"} | BATCH | (FEW if small else {})):
-            most = (FEW_FILES if small else FILES) * self.spark.sparkContext.defaultParallelism
-            df.coalesce(most).write.option("compression", "zstd").option("parquet.block.size", str(ROW_GROUP)).options(**PLAIN).parquet(path)
+            df = df.coalesce((FEW_FILES if small else FILES) * self.spark.sparkContext.defaultParallelism)
+            if self.direct:
+                local = "/" + path.removeprefix("file:").lstrip("/")
+                os.makedirs(local)
+                with settings(self.spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "10000"}):
+                    df.mapInArrow(_written(local), "n long").agg(F.sum("n")).collect()
+            else:
+                df.write.option("compression", "zstd").option("parquet.block.size", str(ROW_GROUP)).options(**PLAIN).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._stored_at = path
         return out
 
+    def keep(self, df: DataFrame) -> DataFrame:
+        """The same rows on the executors' disks; what is lost is made anew. For rows that come without a shuffle, so no shuffle files are held."""
+        with settings(self.spark, BATCH | {"spark.sql.inMemoryColumnarStorage.batchSize": "500"}):
+            df = df.persist(StorageLevel.DISK_ONLY)
+            df.count()
+        return df
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing lazy still reads."""
         for t in tables:
@@ -79,6 +102,34 @@ class Store:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _written(folder: str):
+    """A function for mapInArrow that writes a partition's rows as a file, which gets its name when it is whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        at = f"part-{task.partitionId():05}.parquet"
+        part, writer, held, rows = f"{folder}/_{task.taskAttemptId()}-{at}", None, [], 0
+
+        def flush() -> None:
+            writer.write_table(pa.Table.from_batches(held))
+            held.clear()
+
+        for batch in batches:
+            writer = writer or pq.ParquetWriter(part, batch.schema, compression="zstd")
+            held.append(batch)
+            rows += batch.num_rows
+            if sum(x.nbytes for x in held) > ROW_GROUP // 2:
+                flush()
+        if writer:
+            if held:
+                flush()
+            writer.close()
+            os.replace(part, f"{folder}/{at}")
+        yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64())], ["n"])
+
+    return run
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, in whatever case."""
     taken = {c.lower() for c in df.columns}

@@ -90,7 +90,7 @@ def removal_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     words. Repeated rows repeat each other's windows. A null id stays null.
     Other columns are ignored; an empty table gives an empty result.
     """
-    store = Store(docs.sparkSession, name)
+    store = Store(docs.sparkSession, name, direct=True)
     texts = docs.select(text_key(id_col, text_col).alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     at = _removed(texts, store, width, k)
     return texts.join(at.hint("merge"), "rid", "left").select("rid", "doc_id", "text", "at").mapInArrow(_report(width), "doc_id long, n_words long, n_removed long, kept_sha256 string")
@@ -102,7 +102,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows without a repeated passage keep their text byte for byte; a null text
     stays null.
     """
-    store = Store(docs.sparkSession, name)
+    store = Store(docs.sparkSession, name, direct=True)
     texts = docs.select(text_key(id_col, text_col).alias("rid"), F.col(text_col).alias("text"))
     at = _removed(texts, store, width, k)
     # fields by number: names of other columns may clash in any way
