@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,6 +11,14 @@ import pyarrow as pa
 from cellgrove.llm.words import slices, text_buffer
 
 
+def release() -> None:
+    """Give free memory back to the system: a worker that waits for its next task counts with all that it holds."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def by_slices(f: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], pa.RecordBatch | None], text: str = "text", most: int = 2 << 20):
     """A function for mapInArrow that calls f(rows, bytes, offsets) for runs of rows of about `most` bytes of text."""
 
@@ -20,6 +29,7 @@ def by_slices(f: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], pa.RecordBat
                 out = f(batch.slice(a, b - a), buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
                 if out is not None and out.num_rows:
                     yield out
+        release()
 
     return run
 

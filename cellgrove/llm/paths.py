@@ -83,7 +83,7 @@ def repeated(texts: DataFrame, hashed, width: int, k: int, store: Store) -> Data
     joins whose other side has one row for a key: a passage that a third of all
     rows share is never in one task. Repeated rows are one source, once counted.
     """
-    every = store.put(texts.select("rid", "text").mapInArrow(_emit(hashed, width, k), _RUN))
+    every = store.put(texts.select("rid", "text"), mapped=(_emit(hashed, width, k), _RUN))
     again = every.groupBy("mh").agg(F.count("*").alias("c"), F.min("ph").alias("lo"), F.max("ph").alias("hi")).where("c > 1")
     again = store.put(again.select("mh", (F.col("lo") == F.col("hi")).alias("one")), small=True)
     found = store.put(every.join(again, "mh").select("ph", "rid", "start", "n", "one"), small=True)
@@ -95,7 +95,7 @@ def repeated(texts: DataFrame, hashed, width: int, k: int, store: Store) -> Data
     at = found.where("one").select("rid", run(F.lit(True), F.lit(False), F.lit(False)).alias("x"))
     at = at.union(mixed.join(copies, "ph").select("rid", run(~lone, lone | (F.col("rid") == F.col("first")), lone).alias("x")))
     at = at.groupBy("rid").agg(F.collect_set("x").alias("at"))
-    edges = store.put(texts.select("rid", "text").join(at.hint("merge"), "rid").mapInArrow(_edges(hashed, width), _EDGE))
+    edges = store.put(texts.select("rid", "text").join(at.hint("merge"), "rid"), mapped=(_edges(hashed, width), _EDGE))
     store.drop(again, found, copies)
     proved = store.put(edges.groupBy("e", "proof").agg(F.count("*").alias("c")).where("c > 1").select("e", "proof"), small=True)
     kept = edges.where("own").join(proved, ["e", "proof"]).select(F.xxhash64("e", "proof").alias("g"), "rid", "start", "n")

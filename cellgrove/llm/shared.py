@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -14,6 +14,8 @@ from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellgrove.llm.arrow import release
+
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes and rows that are sent to a Python worker at once: a bound of memory, as long texts make rows large.
 BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": str(2 << 20), "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
@@ -71,8 +73,20 @@ class Store:
         self.n = 0
         self.direct = direct and self.root.startswith("file:")
 
-    def put(self, df: DataFrame, *, small: bool = False) -> DataFrame:
-        """small: a table of keys and counts, written in few files."""
+    def put(self, df: DataFrame, *, small: bool = False, mapped: tuple[Callable, str] | None = None) -> DataFrame:
+        """small: a table of keys and counts, written in few files.
+
+        mapped: a function and schema for mapInArrow, through which the rows go
+        first. Where files are written directly, the worker that maps writes
+        too: two in one task would both stay for later tasks, and all that stay
+        get those in turn, so each would come to hold what the tasks keep.
+        """
+        f = None
+        schema = df.mapInArrow(*mapped).schema if mapped else df.schema
+        if mapped and self.direct:
+            f = mapped[0]
+        elif mapped:
+            df = df.mapInArrow(*mapped)
         self.n += 1
         path = f"{self.root}/{self.n}"
         with settings(self.spark, {CLEANUP: "true"} | BATCH | (FEW if small else {})):
@@ -80,11 +94,11 @@ class Store:
             if self.direct:
                 local = "/" + path.removeprefix("file:").lstrip("/")
                 os.makedirs(local)
-                with settings(self.spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "10000"}):
-                    df.mapInArrow(_written(local), "n long").agg(F.sum("n")).collect()
+                with settings(self.spark, {} if f else {"spark.sql.execution.arrow.maxRecordsPerBatch": "10000"}):
+                    df.mapInArrow(_written(local, f), "n long").agg(F.sum("n")).collect()
             else:
                 df.write.option("compression", "zstd").option("parquet.block.size", str(ROW_GROUP)).options(**PLAIN).parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(schema).parquet(path)
         out._stored_at = path
         return out
 
@@ -102,8 +116,8 @@ class Store:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _written(folder: str):
-    """A function for mapInArrow that writes a partition's rows as a file, which gets its name when it is whole."""
+def _written(folder: str, f: Callable | None = None):
+    """A function for mapInArrow that writes a partition's rows, after f, as a file, which gets its name when it is whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -114,7 +128,7 @@ def _written(folder: str):
             writer.write_table(pa.Table.from_batches(held))
             held.clear()
 
-        for batch in batches:
+        for batch in f(batches) if f else batches:
             writer = writer or pq.ParquetWriter(part, batch.schema, compression="zstd")
             held.append(batch)
             rows += batch.num_rows
@@ -125,6 +139,7 @@ def _written(folder: str):
                 flush()
             writer.close()
             os.replace(part, f"{folder}/{at}")
+        release()
         yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64())], ["n"])
 
     return run

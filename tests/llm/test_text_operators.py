@@ -3,6 +3,8 @@
 import collections
 import math
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -101,6 +103,37 @@ def test_copies_without_a_branch(spark):
     same(substring.removal_report(spark.createDataFrame(rows, "doc_id long, text string")), brute.without_windows(rows, 35))
 
 
+def test_the_worker_that_maps_also_writes(spark, docs, doc_rows, monkeypatch):
+    """Two Python operators in one stage hold two workers for each core, and both stay."""
+    below, plain = [], type(docs).mapInArrow
+
+    def spied(df, *a, **b):
+        below.append("MapInArrow" in df._jdf.queryExecution().optimizedPlan().toString())
+        return plain(df, *a, **b)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", spied)
+    same(substring.removal_report(docs), brute.without_windows([(r[0], r[1]) for r in doc_rows], 35))
+    assert below and not any(below)
+
+
+def test_free_memory_goes_back():
+    """What a task has freed is not held by the worker that waits for the next one."""
+    code = """
+import os, sys, pyarrow as pa
+from cellgrove.llm.arrow import by_slices
+held = lambda: int(open("/proc/self/statm").read().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20
+last = []
+def f(rows, buf, offsets):
+    many = [bytes([k % 256]) * 3000 for k in range(60_000)]
+    last.append(many.pop())  # the end of the heap stays in use
+before = held()
+list(by_slices(f)(iter([pa.RecordBatch.from_arrays([pa.array(["a"])], ["text"])])))
+print(held() - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert int(out.stdout) < 60
+
+
 def test_passages_are_compacted_paths(spark):
     rng = random.Random(6)
     words = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
