@@ -149,9 +149,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table gives an empty result.
     """
     spark = docs.sparkSession
-    store = Store(spark, name)
+    store = Store(spark, name, direct=True)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(id_col, text_col).alias("rid"), F.col(text_col).alias("text"))
-    base = store.put(rows.mapInArrow(_sketch(size, k, rows_each), "doc_id long, rid long, n_shingles long, v long, sig array<long>"))
+    base = store.put(rows, mapped=(_sketch(size, k, rows_each), "doc_id long, rid long, n_shingles long, v long, sig array<long>"))
 
     least = lambda *c: F.min(F.struct(F.col(c[0]).isNull().alias("no_id"), *[F.col(x).alias(y) for x, y in zip(c, ("id", "rid"))]))
     classes = base.where("n_shingles > 0").groupBy("v").agg(least("doc_id", "rid").alias("one"), F.min("rid").alias("rid"))

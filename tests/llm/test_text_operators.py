@@ -6,6 +6,7 @@ import random
 import subprocess
 import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -116,6 +117,15 @@ def test_the_worker_that_maps_also_writes(spark, docs, doc_rows, monkeypatch):
     assert below and not any(below)
 
 
+def test_no_process_for_each_file(docs, monkeypatch):
+    """The JVM starts one for each file and folder that it makes, and counts twice until that one runs."""
+    made, put = [], Store.put
+    monkeypatch.setattr(Store, "put", lambda store, *a, **b: made.append(put(store, *a, **b)) or made[-1])
+    near_dup.near_duplicates(docs)
+    folders = [Path("/" + t._stored_at.removeprefix("file:").lstrip("/")) for t in made]
+    assert folders and not any((f / "_SUCCESS").exists() for f in folders)
+
+
 def test_free_memory_goes_back():
     """What a task has freed is not held by the worker that waits for the next one."""
     code = """
