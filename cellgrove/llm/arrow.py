@@ -19,8 +19,8 @@ def release() -> None:
         trim(0)
 
 
-def by_slices(f: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], pa.RecordBatch | None], text: str = "text", most: int = 2 << 20):
-    """A function for mapInArrow that calls f(rows, bytes, offsets) for runs of rows of about `most` bytes of text."""
+def by_slices(f: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], pa.RecordBatch | None], text: str = "text", most: int = 2 << 20, last: Callable[[], None] | None = None):
+    """A function for mapInArrow that calls f(rows, bytes, offsets) for runs of rows of about `most` bytes of text, and last() when a task ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -29,6 +29,8 @@ def by_slices(f: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], pa.RecordBat
                 out = f(batch.slice(a, b - a), buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
                 if out is not None and out.num_rows:
                     yield out
+        if last:
+            last()
         release()
 
     return run

@@ -188,7 +188,8 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         return pa.RecordBatch.from_arrays([doc, pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), key], ["doc_id", "piece", "start", "length", "ids_crc32", "rid"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(id_col, text_col).alias("rid"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(by_slices(f, most=4 << 20), _PIECES + ", rid long")
+    # the workers stay for the steps that follow, so what they have kept goes with the task
+    return rows.mapInArrow(by_slices(f, most=4 << 20, last=lambda: word_encoder(path, 64).clear()), _PIECES + ", rid long")
 
 
 def _shuffled(bins: list[list[int]], times: int):

@@ -7,6 +7,7 @@ import subprocess
 import sys
 import zlib
 from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -354,6 +355,14 @@ def test_packing_holds_every_piece(docs, doc_rows, none, library):
     assert packing.pack(none, WORDS).count() == 0
 
 
+def test_pieces_are_kept_for_a_task_only(spark):
+    rows = SimpleNamespace(select=lambda *_: SimpleNamespace(mapInArrow=lambda f, _: f))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1]), pa.array(["some words here"])], ["doc_id", "rid", "text"])
+    (out,) = packing.pieces(rows, WORDS)(iter([batch]))
+    assert out["length"].to_pylist()[0] > 3
+    assert not bpe.word_encoder(WORDS, 64).ids
+
+
 def test_local_search_beats_best_fit():
     rng, fewer = random.Random(9), 0
     for _ in range(30):
